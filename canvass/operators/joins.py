@@ -1,0 +1,18 @@
+"""Joins to small tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 50_000
+
+
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a table for broadcast only if it has at most ``max_rows`` rows.
+
+    Otherwise it is joined by shuffle, and AQE splits partitions of hot keys.
+    """
+    if df.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(df)
+    return df
