@@ -13,8 +13,11 @@ def json_object(value: Column) -> Column:
 
     Parsing it as the only element of a list makes trailing text an error.
     """
-    listed = F.from_json(F.concat(F.lit("["), value, F.lit("]")), "array<map<string,variant>>", _STRICT)
-    return F.when(F.size(listed) == 1, listed[0])
+    text = F.concat(F.lit("["), value, F.lit("]"))
+    listed = F.from_json(text, "array<map<string,variant>>", _STRICT)
+    # of a list with more than one element the filter leaves nothing
+    alone = F.filter(F.array(listed), lambda items: F.size(items) == 1)
+    return F.try_element_at(F.try_element_at(alone, F.lit(1)), F.lit(1))
 
 
 def is_json(value: Column) -> Column:
@@ -31,25 +34,23 @@ def last_value(obj: Column, key: str) -> Column:
     return F.try_element_at(same, F.lit(-1))["value"]
 
 
-def kind(value: Column) -> Column:
-    """'STRING', 'BIGINT', 'BOOLEAN', 'DOUBLE', 'DECIMAL', 'ARRAY', 'OBJECT' or 'VOID'."""
-    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+def is_list(value: Column) -> Column:
+    return F.schema_of_variant(value).startswith("ARRAY")
 
 
 def string_only(value: Column) -> Column:
     """Text of a JSON string, NULL for every other kind."""
-    return F.when(kind(value) == "STRING", F.try_variant_get(value, "$", "string"))
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
 
 def scalar_text(value: Column) -> Column:
     """Text of a string, number or boolean; NULL for lists, objects and null."""
-    return F.when(
-        ~kind(value).isin("ARRAY", "OBJECT", "VOID"), F.try_variant_get(value, "$", "string")
-    )
+    nested = F.schema_of_variant(value).rlike("^(ARRAY|OBJECT)")
+    return F.when(~nested, F.try_variant_get(value, "$", "string"))
 
 
 def answer_text(value: Column) -> Column:
     """Answer as stored in a text map: strings plain, everything else as JSON text."""
-    return F.when(kind(value) == "VOID", F.lit(None).cast("string")).otherwise(
+    return F.when(F.schema_of_variant(value) == "VOID", F.lit(None).cast("string")).otherwise(
         F.coalesce(string_only(value), F.to_json(value))
     )

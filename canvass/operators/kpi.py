@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canvass.functions.answers import has_answer
-from canvass.functions.jsontext import kind, string_only
+from canvass.functions.jsontext import is_list, string_only
 from canvass.functions.scales import ASCENDING, half_up_1, rating
 from canvass.functions.text import split_options_trimmed_tail, trim_controls
 from canvass.operators.paging import PAGE_SIZE, nest_pages
@@ -23,7 +23,7 @@ def _typed(surveys: DataFrame, key: str):
     if "typed_answers" in surveys.columns:
         value = F.col("typed_answers")[key]
         return string_only(value), F.when(
-            kind(value) == "ARRAY", F.try_variant_get(value, "$", "array<string>")
+            is_list(value), F.try_variant_get(value, "$", "array<string>")
         )
     value = F.col(key) if key in surveys.columns else F.col("answers")[key]
     listed = F.when(value.startswith("["), F.from_json(value, "array<string>"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -40,28 +40,48 @@ POD_RULES = (
 )
 
 
+ANYTHING = "(.*)"
+
+
+def _replaced(value: Column, rule: Rule) -> Column:
+    """Replacement text for a matching value."""
+    if rule.regex == ANYTHING:
+        # the group is the whole value
+        before, _, after = rule.replacement.partition("$1")
+        return F.concat(F.lit(before), value, F.lit(after)) if "$1" in rule.replacement else F.lit(before)
+    return F.regexp_replace(value, f"^(?s:{rule.regex})$", re.sub(r"\$\{(\w+)\}", r"$\1", rule.replacement))
+
+
 def relabel(df: DataFrame, rules=POD_RULES, labels: str = "labels") -> DataFrame:
     """Apply the rules in order.  A pattern must match the whole joined value.
 
     A missing label reads as ''; a replacement that comes out empty removes the target.
+    New labels are kept as expressions while the rules are gone through, so the map is
+    rebuilt only once.
     """
+    new: dict[str, Column] = {}
+
+    def read(name: str) -> Column:
+        return new[name] if name in new else F.col(labels)[name]
+
     for rule in rules:
-        parts = [F.coalesce(F.col(labels)[name], F.lit("")) for name in rule.source_labels]
+        parts = [F.coalesce(read(name), F.lit("")) for name in rule.source_labels]
         value = F.concat_ws(rule.separator, *parts) if parts else F.lit("")
-        whole = f"^(?s:{rule.regex})$"
-        matched = value.rlike(whole)
-        if rule.action == "drop":
-            df = df.filter(~matched)
+        matched = None if rule.regex == ANYTHING else value.rlike(f"^(?s:{rule.regex})$")
+        if rule.action == "replace":
+            replaced = F.nullif(_replaced(value, rule), F.lit(""))
+            if matched is not None:
+                replaced = F.when(matched, replaced).otherwise(read(rule.target_label))
+            new[rule.target_label] = replaced
         elif rule.action == "keep":
-            df = df.filter(matched)
-        elif rule.action == "replace":
-            replacement = re.sub(r"\$\{(\w+)\}", r"$\1", rule.replacement)
-            new = F.regexp_replace(value, whole, replacement)
-            others = F.map_filter(labels, lambda k, _, t=rule.target_label: k != t)
-            changed = F.when(new == "", others).otherwise(
-                F.map_concat(others, F.create_map(F.lit(rule.target_label), new))
-            )
-            df = df.withColumn(labels, F.when(matched, changed).otherwise(F.col(labels)))
+            df = df.filter(F.lit(True) if matched is None else matched)
+        elif rule.action == "drop":
+            df = df.filter(F.lit(False) if matched is None else ~matched)
         else:
             raise ValueError(f"unknown action {rule.action!r}")
-    return df
+    if not new:
+        return df
+    untouched = F.map_filter(labels, lambda key, _: ~key.isin(*new))
+    pairs = [c for name, value in new.items() for c in (F.lit(name), value)]
+    added = F.map_filter(F.create_map(*pairs), lambda _, value: value.isNotNull())
+    return df.withColumn(labels, F.map_concat(untouched, added))

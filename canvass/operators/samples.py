@@ -101,7 +101,8 @@ def rate_on_grid(samples: DataFrame, range_seconds: int = 300, step_seconds: int
     on_grid = (
         steps.filter("own")
         .filter(first <= last)
-        .withColumn("eval_us", F.explode(F.sequence(first, last)) * step)
+        .withColumn("k", F.explode(F.sequence(first, last)))
+        .withColumn("eval_us", F.col("k") * step)
     )
     inside = F.col("previous_us") > F.col("eval_us") - span
     total = F.sum(F.when(inside, F.col("step")).otherwise(0.0))

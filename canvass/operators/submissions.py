@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canvass import schemas
 from canvass.functions.jsontext import answer_text, json_object, last_value, string_only
+from canvass.functions.once import compute_once
 from canvass.operators.longform import answers_with_question
 
 # Fixed values written into every submission.
@@ -15,6 +15,9 @@ SURVEY_TYPE = "spring_js_hybrid"
 SPRING_VERSION = "3.1.0"
 ANONYMOUS = "anonymous"
 
+# The answer of a response may be text, a number or a list.
+RESPONSES = "array<struct<questionId:string,answer:variant>>"
+
 
 def answers_from_responses(responses: Column) -> Column:
     """List of (questionId, answer) as a map; of a repeated question the last answer counts.
@@ -31,6 +34,13 @@ def answers_from_responses(responses: Column) -> Column:
     return F.map_from_entries(F.transform(last, lambda r: F.struct(r["questionId"], r["answer"])))
 
 
+def _parsed(raw: DataFrame) -> DataFrame:
+    """Add the body as ``object`` and its ``responses``, NULL where it has none."""
+    body = compute_once(raw, object=json_object(F.col("body")))
+    return compute_once(body, responses=F.try_variant_get(
+        last_value(F.col("object"), "responses"), "$", RESPONSES))
+
+
 def normalise_submissions(raw: DataFrame, runtime_version: str = "17",
                           survey_id: Column | None = None) -> DataFrame:
     """Survey rows out of request bodies.
@@ -40,17 +50,13 @@ def normalise_submissions(raw: DataFrame, runtime_version: str = "17",
     null.  A body that is no object or has no responses is refused; see
     ``refused_submissions``.  ``typed_answers`` keeps the JSON type of each answer.
     """
-    parsed = raw.withColumns({
-        "object": json_object(F.col("body")),
-        "parsed": F.from_json("body", schemas.SUBMISSION_BODY),
-    })
-    accepted = parsed.filter(F.col("object").isNotNull() & F.col("parsed.responses").isNotNull())
-    typed = answers_from_responses(F.col("parsed.responses"))
+    accepted = _parsed(raw).filter("responses IS NOT NULL")
     user = F.when(
         ~F.map_contains_key("object", "userId"), F.lit(ANONYMOUS)
     ).otherwise(string_only(last_value(F.col("object"), "userId")))
     received = F.col("receivedAt").cast("timestamp")
-    return accepted.withColumn("typed_answers", typed).select(
+    typed = compute_once(accepted, typed_answers=answers_from_responses(F.col("responses")))
+    return typed.select(
         (survey_id if survey_id is not None else F.lit(SURVEY_ID)).alias("surveyId"),
         user.alias("userId"),
         "sessionId",
@@ -74,19 +80,21 @@ def normalise_submissions(raw: DataFrame, runtime_version: str = "17",
 
 def refused_submissions(raw: DataFrame) -> DataFrame:
     """Bodies that ``normalise_submissions`` does not take."""
-    responses = F.from_json("body", schemas.SUBMISSION_BODY)["responses"]
-    return raw.filter(json_object(F.col("body")).isNull() | responses.isNull())
+    return _parsed(raw).filter("responses IS NULL").select(*raw.columns)
 
 
 def answer_rows(surveys: DataFrame, questions: DataFrame, survey_type: str = "java-survey") -> DataFrame:
     """One row per answer with the question's text, ISO time and survey type."""
-    rows = surveys.select(
-        "surveyId", "sessionId", "submittedAt",
-        F.explode("answers").alias("questionId", "answer"),
+    utc = F.to_utc_timestamp(F.col("submittedAt").cast("timestamp"), F.current_timezone())
+    dated = compute_once(
+        surveys, "surveyId", "sessionId", "answers",
+        timestamp=F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"),
+    )
+    rows = dated.select(
+        "surveyId", "sessionId", "timestamp", F.explode("answers").alias("questionId", "answer")
     )
     return answers_with_question(rows, questions).select(
-        "surveyId", "sessionId", "questionId", "question", "answer",
-        F.date_format("submittedAt", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"),
+        "surveyId", "sessionId", "questionId", "question", "answer", "timestamp",
         F.lit(survey_type).alias("surveyType"),
     )
 

@@ -12,7 +12,6 @@ from pyspark.sql.types import (
     StructField,
     StructType,
     TimestampType,
-    VariantType,
 )
 
 METADATA = StructType([
@@ -47,18 +46,6 @@ EVENT = StructType(SURVEY.fields + [
     StructField("data", MapType(StringType(), StringType())),
 ])
 
-# Body of one submission as the page sends it; answers may be text, number or list.
-SUBMISSION_BODY = StructType([
-    StructField("userId", VariantType()),
-    StructField("responses", ArrayType(StructType([
-        StructField("questionId", StringType()),
-        StructField("question", StringType()),
-        StructField("answer", VariantType()),
-        StructField("timestamp", StringType()),
-        StructField("surveyType", StringType()),
-    ]))),
-])
-
 # One row per answer.
 LONG_RESPONSE = StructType([
     StructField("question", StringType()),

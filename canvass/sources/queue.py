@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from canvass.functions.once import compute_once
 from canvass.functions.jsontext import is_json, json_object, last_value, scalar_text, string_only
 
 
@@ -15,11 +16,10 @@ def decode_messages(lines: DataFrame) -> DataFrame:
     not an object cannot be processed: it is kept with ``accepted`` false.
     """
     value = F.col("value")
-    parsed = lines.select(value, json_object(value).alias("item"))
     is_object = F.col("item").isNotNull()
+    parsed = compute_once(lines, "value", item=json_object(value))
     return (
-        parsed
-        .withColumn("broken", ~is_object & ~F.coalesce(is_json(value), F.lit(False)))
+        compute_once(parsed, broken=~is_object & ~F.coalesce(is_json(value), F.lit(False)))
         .select(
             "value",
             F.when(F.col("broken"), F.lit("unknown"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from canvass import schemas
 from canvass.functions.answers import flatten_answers
+from canvass.functions.once import compute_once
 
 
 def read_surveys(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -64,8 +65,7 @@ def decode_events(messages: DataFrame) -> DataFrame:
     answers and a time; the others belong to the dead letters.
     """
     text = F.col("value").cast("string")
-    event = F.from_json(text, schemas.EVENT)
-    decoded = messages.select(text.alias("value"), event.alias("e"))
+    decoded = compute_once(messages, text.alias("value"), e=F.from_json(text, schemas.EVENT))
     return decoded.select(
         "value",
         F.col("e.surveyId").alias("surveyId"),

@@ -395,9 +395,9 @@ def responses_in_range(spark, sf_dir):
 
 @query("responses_by_answer", f"""
 WITH {S} SELECT event_id, userId AS "userId" FROM s
-WHERE surveyId = 'survey_v2' AND elk_usefulness = 'Raczej tak'""")
+WHERE surveyId = 'survey_v1' AND elk_usefulness = 'Raczej tak'""")
 def responses_by_answer(spark, sf_dir):
-    hits = finders.by_answer(documents_of(spark, sf_dir), "survey_v2", "elk_usefulness", "Raczej tak")
+    hits = finders.by_answer(documents_of(spark, sf_dir), "survey_v1", "elk_usefulness", "Raczej tak")
     return hits.select("event_id", "userId")
 
 
@@ -428,7 +428,7 @@ SELECT 'spring_js_survey_v1' AS "surveyId",
        CASE kind WHEN 2 THEN '7' WHEN 1 THEN '["' || replace(java_tech_interest, ',', '","') || '"]'
             ELSE java_tech_interest END AS technologies,
        'spring_js_hybrid' AS "surveyType", 'agent' AS browser, '/new-survey' AS referer,
-       CAST(epoch_ms(submittedAt) AS VARCHAR) AS millis
+       CAST(epoch_us(submittedAt) // 1000 AS VARCHAR) AS millis
 FROM b""")
 def submission_to_answer_map(spark, sf_dir):
     bodies = fx.request_bodies(fx.table(spark, sf_dir, "events"))
@@ -467,7 +467,7 @@ def intake_validation(spark, sf_dir):
 
 @query("submission_messages", f"""
 WITH {S} SELECT sessionId AS "key", '{{"type":"SURVEY_SUBMITTED","surveyId":"' || surveyId || '",' ||
-coalesce('"userId":"' || userId || '",', '') || '"timestamp":' || CAST(epoch_ms(submittedAt) AS VARCHAR) ||
+coalesce('"userId":"' || userId || '",', '') || '"timestamp":' || CAST(epoch_us(submittedAt) // 1000 AS VARCHAR) ||
 ',"data":' || {ANSWERS_JSON} || '}}' AS value FROM s""")
 def messages(spark, sf_dir):
     return submission_messages(documents_of(spark, sf_dir))

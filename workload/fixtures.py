@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canvass.operators import relabel as r
+from canvass.functions.once import compute_once
 from canvass.schemas import HOT_ANSWERS
 
 
@@ -140,7 +142,7 @@ def event_messages(events: DataFrame, planted: bool = False) -> DataFrame:
     if planted:
         cut = F.concat(F.lit('{"surveyId": '), F.col("event_id").cast("string"))
         value = F.when(F.col("event_type") == "signup", cut).otherwise(value)
-    return flat.select(value.alias("value"))
+    return compute_once(flat, value=value).select("value")
 
 
 def request_bodies(events: DataFrame) -> DataFrame:
@@ -171,11 +173,13 @@ def request_bodies(events: DataFrame) -> DataFrame:
         F.col("elk_usefulness").isNull(), F.lit('"userId":null,')
     ).otherwise(F.concat(F.lit('"userId":"'), "userId", F.lit('",')))
     body = F.concat(F.lit("{"), user, F.lit('"responses":['), listed, F.lit("]}"))
-    return flat.select(
+    body = (
         F.when(F.col("architecture_suggestions") == "Super", F.lit('{"responses":null}'))
         .when(F.col("architecture_suggestions") == "problem z kolejką", F.lit("[]"))
-        .otherwise(body).alias("body"),
-        "sessionId",
+        .otherwise(body)
+    )
+    return compute_once(flat, "sessionId", "submittedAt", body=body).select(
+        "body", "sessionId",
         F.lit("agent").alias("userAgent"), F.lit("/new-survey").alias("referer"),
         F.lit("10.0.0.1").alias("ipAddress"),
         F.col("submittedAt").cast("timestamp").alias("receivedAt"),
@@ -211,7 +215,7 @@ def queue_lines(events: DataFrame) -> DataFrame:
         .when(kind == 7, F.lit('{"type":"survey","question":"Pytanie 1","answer":5}'))
         .otherwise(survey)
     )
-    return answers.select(lines.alias("value"))
+    return compute_once(answers, value=lines).select("value")
 
 
 def samples(events: DataFrame) -> DataFrame:
@@ -235,8 +239,6 @@ def log_entries(events: DataFrame) -> DataFrame:
 
 
 def pods(events: DataFrame) -> DataFrame:
-    from canvass.operators import relabel as r
-
     flat = project(events, POD_COLUMNS)
     meta = {r.MIRROR: "mirror", r.SCRAPE: "scrape", r.CONTAINER: "container", r.POD: "pod",
             r.NAMESPACE: "namespace", r.UID: "uid"}
