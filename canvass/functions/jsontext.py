@@ -2,55 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from canvass.functions.once import compute_once
+
 _STRICT = {"allowSingleQuotes": "false"}
 
 
-def json_object(value: Column) -> Column:
-    """The text as map<string,variant>, NULL unless it is exactly one JSON object.
+def _listed(value: Column) -> Column:
+    """The text as the only element of a list, where trailing text is an error."""
+    return F.concat(F.lit("["), value, F.lit("]"))
+
+
+def with_json_object(df: DataFrame, name: str, value: Column, fields: str) -> DataFrame:
+    """Add the given fields of a text as a struct, NULL unless it is exactly one JSON object.
 
-    Parsing it as the only element of a list makes trailing text an error.
+    Fields of type variant keep their JSON type: a missing key is NULL, an explicit null
+    is a variant.  Of a repeated key the last value counts.
     """
-    text = F.concat(F.lit("["), value, F.lit("]"))
-    listed = F.from_json(text, "array<map<string,variant>>", _STRICT)
-    # of a list with more than one element the filter leaves nothing
-    alone = F.filter(F.array(listed), lambda items: F.size(items) == 1)
-    return F.try_element_at(F.try_element_at(alone, F.lit(1)), F.lit(1))
+    listed = compute_once(df, **{name: F.from_json(_listed(value), f"array<struct<{fields}>>", _STRICT)})
+    # a list of more than one element was several values
+    only = F.when(F.size(name) == 1, F.get(name, F.lit(0)))
+    return compute_once(listed, *df.columns, **{name: only})
 
 
 def is_json(value: Column) -> Column:
     """Whether the text is exactly one JSON value of any kind."""
-    parsed = F.try_parse_json(F.concat(F.lit("["), value, F.lit("]")))
+    parsed = F.try_parse_json(_listed(value))
     one = F.try_variant_get(parsed, "$[0]", "variant").isNotNull()
     more = F.try_variant_get(parsed, "$[1]", "variant").isNotNull()
     return parsed.isNotNull() & one & ~more
 
 
-def last_value(obj: Column, key: str) -> Column:
-    """Value of a key; of a repeated key the last one."""
-    same = F.filter(F.map_entries(obj), lambda e: e["key"] == F.lit(key))
-    return F.try_element_at(same, F.lit(-1))["value"]
-
-
 def is_list(value: Column) -> Column:
     return F.schema_of_variant(value).startswith("ARRAY")
 
 
 def string_only(value: Column) -> Column:
     """Text of a JSON string, NULL for every other kind."""
-    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+    return F.when(F.schema_of_variant(value) == "STRING", any_text(value))
 
 
 def scalar_text(value: Column) -> Column:
     """Text of a string, number or boolean; NULL for lists, objects and null."""
     nested = F.schema_of_variant(value).rlike("^(ARRAY|OBJECT)")
-    return F.when(~nested, F.try_variant_get(value, "$", "string"))
+    return F.when(~nested, any_text(value))
 
 
-def answer_text(value: Column) -> Column:
-    """Answer as stored in a text map: strings plain, everything else as JSON text."""
-    return F.when(F.schema_of_variant(value) == "VOID", F.lit(None).cast("string")).otherwise(
-        F.coalesce(string_only(value), F.to_json(value))
-    )
+def any_text(value: Column) -> Column:
+    """Strings as they are, lists and objects as JSON text, null as NULL."""
+    return F.try_variant_get(value, "$", "string")

@@ -6,10 +6,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def pearson(x, y) -> Column:
-    """Correlation of two columns, NULL when one is constant or there are no rows.
+def pearson(x: str, y: str) -> Column:
+    """Correlation of two whole-number columns, NULL when one is constant or without rows.
 
-    The built-in ``corr`` divides by zero on a constant column in ANSI mode, and a
-    CASE around it does not help, as aggregates are computed before it.
+    The built-in ``corr`` divides by zero on a constant column in ANSI mode, and a CASE
+    around it does not help, as aggregates are computed before it.  The sums of whole
+    numbers are exact, so the result does not depend on how the rows are partitioned.
     """
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    a, b = F.col(x), F.col(y)
+
+    def wide(total: Column) -> Column:
+        return total.cast("decimal(19,0)")
+
+    rows = wide(F.count_if(a.isNotNull() & b.isNotNull()))
+
+    def spread(p: Column, q: Column) -> Column:
+        return (rows * wide(F.sum(p * q)) - wide(F.sum(p)) * wide(F.sum(q))).cast("double")
+
+    return F.try_divide(spread(a, b), F.sqrt(spread(a, a)) * F.sqrt(spread(b, b)))

@@ -64,7 +64,8 @@ def answer_correlations(surveys: DataFrame, match: str = "contains") -> DataFram
         rating(answer(surveys, SPRING), DESCENDING).alias("spring"),
         rating(answer(surveys, INTEGRATION), DESCENDING).alias("integration"),
         usefulness(answer(surveys, ELK), match).alias("elk"),
-    ).dropna()
+    )
+    # every score has a default, so there are no incomplete rows to leave out
     return scores.agg(
         pearson("spring", "integration").alias("spring_integration_corr"),
         pearson("spring", "elk").alias("spring_elk_corr"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canvass.functions.jsontext import answer_text, json_object, last_value, string_only
+from canvass.functions.jsontext import any_text, string_only, with_json_object
 from canvass.functions.once import compute_once
 from canvass.operators.longform import answers_with_question
 
@@ -16,29 +16,28 @@ SPRING_VERSION = "3.1.0"
 ANONYMOUS = "anonymous"
 
 # The answer of a response may be text, a number or a list.
-RESPONSES = "array<struct<questionId:string,answer:variant>>"
+BODY = "userId: variant, responses: array<struct<questionId: string, answer: variant>>"
 
 
 def answers_from_responses(responses: Column) -> Column:
     """List of (questionId, answer) as a map; of a repeated question the last answer counts.
 
     Earlier entries are removed before the map is made, so the result does not depend on
-    the session's policy for duplicate keys.
+    the session's policy for duplicate keys.  Responses without an id are left out.
     """
-    ids = F.transform(responses, lambda r: r["questionId"])
+    named = F.filter(responses, lambda r: r["questionId"].isNotNull())
+    ids = F.transform(named, lambda r: r["questionId"])
     last = F.filter(
-        responses,
-        lambda r, i: r["questionId"].isNotNull()
-        & ~F.exists(F.slice(ids, i + 2, F.size(ids)), lambda later: later.eqNullSafe(r["questionId"])),
+        named,
+        lambda r, i: ~F.exists(F.slice(ids, i + 2, F.size(ids)), lambda later: later == r["questionId"]),
     )
-    return F.map_from_entries(F.transform(last, lambda r: F.struct(r["questionId"], r["answer"])))
+    unique = F.size(F.array_distinct(ids)) == F.size(ids)
+    return F.map_from_entries(F.when(unique, named).otherwise(last))
 
 
 def _parsed(raw: DataFrame) -> DataFrame:
-    """Add the body as ``object`` and its ``responses``, NULL where it has none."""
-    body = compute_once(raw, object=json_object(F.col("body")))
-    return compute_once(body, responses=F.try_variant_get(
-        last_value(F.col("object"), "responses"), "$", RESPONSES))
+    """Add the fields of the body as ``fields``."""
+    return with_json_object(raw, "fields", F.col("body"), BODY)
 
 
 def normalise_submissions(raw: DataFrame, runtime_version: str = "17",
@@ -50,17 +49,17 @@ def normalise_submissions(raw: DataFrame, runtime_version: str = "17",
     null.  A body that is no object or has no responses is refused; see
     ``refused_submissions``.  ``typed_answers`` keeps the JSON type of each answer.
     """
-    accepted = _parsed(raw).filter("responses IS NOT NULL")
-    user = F.when(
-        ~F.map_contains_key("object", "userId"), F.lit(ANONYMOUS)
-    ).otherwise(string_only(last_value(F.col("object"), "userId")))
+    accepted = _parsed(raw).filter("fields.responses IS NOT NULL")
+    user = F.when(F.col("fields.userId").isNull(), F.lit(ANONYMOUS)).otherwise(
+        string_only(F.col("fields.userId"))
+    )
     received = F.col("receivedAt").cast("timestamp")
-    typed = compute_once(accepted, typed_answers=answers_from_responses(F.col("responses")))
+    typed = compute_once(accepted, typed_answers=answers_from_responses(F.col("fields.responses")))
     return typed.select(
         (survey_id if survey_id is not None else F.lit(SURVEY_ID)).alias("surveyId"),
         user.alias("userId"),
         "sessionId",
-        F.transform_values("typed_answers", lambda _, v: answer_text(v)).alias("answers"),
+        F.transform_values("typed_answers", lambda _, v: any_text(v)).alias("answers"),
         received.alias("submittedAt"),
         F.struct(
             F.lit(SURVEY_TYPE).alias("surveyType"),
@@ -80,7 +79,7 @@ def normalise_submissions(raw: DataFrame, runtime_version: str = "17",
 
 def refused_submissions(raw: DataFrame) -> DataFrame:
     """Bodies that ``normalise_submissions`` does not take."""
-    return _parsed(raw).filter("responses IS NULL").select(*raw.columns)
+    return _parsed(raw).filter("fields.responses IS NULL").select(*raw.columns)
 
 
 def answer_rows(surveys: DataFrame, questions: DataFrame, survey_type: str = "java-survey") -> DataFrame:

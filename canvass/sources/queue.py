@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from canvass.functions.jsontext import is_json, scalar_text, string_only, with_json_object
 from canvass.functions.once import compute_once
-from canvass.functions.jsontext import is_json, json_object, last_value, scalar_text, string_only
+
+FIELDS = ", ".join(f"{name}: variant" for name in (
+    "type", "question", "answer", "email", "message", "timestamp"))
 
 
 def decode_messages(lines: DataFrame) -> DataFrame:
@@ -17,19 +20,19 @@ def decode_messages(lines: DataFrame) -> DataFrame:
     """
     value = F.col("value")
     is_object = F.col("item").isNotNull()
-    parsed = compute_once(lines, "value", item=json_object(value))
+    parsed = with_json_object(lines.select("value"), "item", value, FIELDS)
     return (
         compute_once(parsed, broken=~is_object & ~F.coalesce(is_json(value), F.lit(False)))
         .select(
             "value",
             F.when(F.col("broken"), F.lit("unknown"))
-            .otherwise(string_only(last_value(F.col("item"), "type"))).alias("type"),
-            scalar_text(last_value(F.col("item"), "question")).alias("question"),
-            scalar_text(last_value(F.col("item"), "answer")).alias("answer"),
-            scalar_text(last_value(F.col("item"), "email")).alias("email"),
-            scalar_text(last_value(F.col("item"), "message")).alias("message"),
+            .otherwise(string_only(F.col("item.type"))).alias("type"),
+            scalar_text(F.col("item.question")).alias("question"),
+            scalar_text(F.col("item.answer")).alias("answer"),
+            scalar_text(F.col("item.email")).alias("email"),
+            scalar_text(F.col("item.message")).alias("message"),
             F.timestamp_seconds(
-                scalar_text(last_value(F.col("item"), "timestamp")).try_cast("double")
+                scalar_text(F.col("item.timestamp")).try_cast("double")
             ).alias("queued_at"),
             F.when(
                 F.col("broken"),

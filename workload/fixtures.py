@@ -120,7 +120,8 @@ def answer_map():
 
 def with_answer_map(flat: DataFrame) -> DataFrame:
     """Submissions in the document layout, answers in a map without the missing ones."""
-    return flat.withColumn("answers", answer_map()).drop(*HOT_ANSWERS)
+    others = [c for c in flat.columns if c not in HOT_ANSWERS]
+    return compute_once(flat, *others, answers=answer_map())
 
 
 def event_messages(events: DataFrame, planted: bool = False) -> DataFrame:
