@@ -22,17 +22,16 @@ BODY = "userId: variant, responses: array<struct<questionId: string, answer: var
 def answers_from_responses(responses: Column) -> Column:
     """List of (questionId, answer) as a map; of a repeated question the last answer counts.
 
-    Earlier entries are removed before the map is made, so the result does not depend on
-    the session's policy for duplicate keys.  Responses without an id are left out.
+    Each id takes the answer at its first position from the end, so the map is made of
+    distinct keys and does not depend on the session's policy for duplicates.  Responses
+    without an id are left out.
     """
-    named = F.filter(responses, lambda r: r["questionId"].isNotNull())
-    ids = F.transform(named, lambda r: r["questionId"])
-    last = F.filter(
-        named,
-        lambda r, i: ~F.exists(F.slice(ids, i + 2, F.size(ids)), lambda later: later == r["questionId"]),
+    ids = F.reverse(responses["questionId"])
+    values = F.reverse(responses["answer"])
+    keys = F.array_compact(F.array_distinct(ids))
+    return F.map_from_arrays(
+        keys, F.transform(keys, lambda key: F.element_at(values, F.array_position(ids, key).cast("int")))
     )
-    unique = F.size(F.array_distinct(ids)) == F.size(ids)
-    return F.map_from_entries(F.when(unique, named).otherwise(last))
 
 
 def _parsed(raw: DataFrame) -> DataFrame:
