@@ -75,11 +75,11 @@ def key_figures(surveys: DataFrame) -> DataFrame:
 def chart_series(votes: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
     """Parallel lists of labels and values, by label; one row per page of options."""
     pages = nest_pages(
-        votes.withColumn("chart", F.lit("technologies")), by=["chart"], key="technology",
-        item=["technology", "votes"], sort=[F.col("technology")], name="bars", page_size=page_size,
+        votes, by=[], key="technology", item=["technology", "votes"], sort=[F.col("technology")],
+        name="bars", page_size=page_size,
     )
     return pages.select(
-        "chart", "page",
+        F.lit("technologies").alias("chart"), "page",
         F.col("bars.technology").alias("labels"), F.col("bars.votes").alias("data"),
     )
 
@@ -87,24 +87,26 @@ def chart_series(votes: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
 def overview(surveys: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
     """The whole record: key figures, votes per technology, both charts.
 
-    Technologies beyond one page give further rows with the same key figures.  Without
+    Technologies beyond one page give further rows, which repeat no key figures.  Without
     any vote the record still has its one row.
     """
-    figures = key_figures(surveys).withColumn("chart", F.lit("technologies"))
-    series = chart_series(list_aware_votes(surveys), page_size)
-    return figures.join(series, "chart", "left").select(
-        "totalResponses", "avgRating", "uniqueUsers",
-        F.coalesce("page", F.lit(0)).alias("page"),
-        F.coalesce(
-            F.map_from_arrays("labels", "data"), F.create_map().cast("map<string,bigint>")
-        ).alias("techPopularity"),
+    figures = key_figures(surveys).select(
+        F.lit(0).alias("page"),
+        F.struct("totalResponses", "avgRating", "uniqueUsers").alias("figures"),
+        F.array(*[F.col(f"ratings_{r}") for r in RATINGS[1:]]).alias("ratings"),
+    )
+    series = chart_series(list_aware_votes(surveys), page_size).drop("chart")
+    record = figures.unionByName(series, allowMissingColumns=True).groupBy("page").agg(
+        *[F.any_value(c, ignoreNulls=True).alias(c) for c in ("figures", "ratings", "labels", "data")]
+    )
+    labels = F.coalesce("labels", F.array().cast("array<string>"))
+    data = F.coalesce("data", F.array().cast("array<bigint>"))
+    return record.select(
+        "page", "figures.*",
+        F.map_from_arrays(labels, data).alias("techPopularity"),
         F.struct(
-            F.array(*[F.lit(str(r)) for r in RATINGS[1:]]).alias("labels"),
-            F.array(*[F.col(f"ratings_{r}") for r in RATINGS[1:]]).alias("data"),
+            F.array(*[F.lit(str(r)) for r in RATINGS[1:]]).alias("labels"), F.col("ratings").alias("data"),
         ).alias("ratingsChart"),
-        F.struct(
-            F.coalesce("labels", F.array().cast("array<string>")).alias("labels"),
-            F.coalesce("data", F.array().cast("array<bigint>")).alias("data"),
-        ).alias("technologiesChart"),
+        F.struct(labels.alias("labels"), data.alias("data")).alias("technologiesChart"),
         F.current_timestamp().alias("lastUpdated"),
     )

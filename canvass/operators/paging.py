@@ -17,14 +17,17 @@ def nest_pages(rows: DataFrame, by: list[str], key: str, item: list[str], sort:
     ``rows`` has one row per group and ``key``.  A group that fits is one row, page 0,
     the plain nested list.  A larger one is split by a hash of the key into as many
     pages as needed, each sorted by itself, so no list grows without bound and no item
-    is left out.
+    is left out.  Without grouping columns all rows are one group.
     """
     sizes = rows.groupBy(*by).agg(F.ceil(F.count("*") / page_size).cast("int").alias("pages"))
-    # the grouping columns can be NULL, hence the null-safe join
-    same = reduce(
-        lambda a, b: a & b, (F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in by)
-    )
-    paged = rows.alias("r").join(sizes.alias("s"), same).select("r.*", "s.pages")
+    if by:
+        # the grouping columns can be NULL, hence the null-safe join
+        same = reduce(
+            lambda a, b: a & b, (F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in by)
+        )
+        paged = rows.alias("r").join(sizes.alias("s"), same).select("r.*", "s.pages")
+    else:
+        paged = rows.withColumn("pages", sizes.scalar())
     entry = F.struct(*sort, F.struct(*item).alias("item"))
     return (
         paged.groupBy(*by, F.pmod(F.xxhash64(key), F.col("pages")).cast("int").alias("page"))

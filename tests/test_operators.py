@@ -88,6 +88,14 @@ def test_key_figures_of_nothing(spark):
     assert row["techPopularity"] == {} and row["ratingsChart"]["data"] == [0] * 5
 
 
+def test_overview_pages_hold_every_technology(spark):
+    df = survey_frame(spark, [("s", "u", "a", answers_of("5", f"t{i},t{i % 3}"), T0) for i in range(20)])
+    pages = kpi.overview(df, page_size=4).orderBy("page").collect()
+    assert len(pages) > 1 and [p["totalResponses"] for p in pages] == [20] + [None] * (len(pages) - 1)
+    votes = {k: v for p in pages for k, v in p["techPopularity"].items()}
+    assert votes == dict(Counter(t for i in range(20) for t in (f"t{i}", f"t{i % 3}")))
+
+
 def test_key_figures_count_a_missing_session_once(spark):
     rows = [("s", "u", None, answers_of("5"), T0), ("s", "u", None, answers_of("2 i 4"), T0),
             ("s", "u", "a", {"spring_performance": None}, T0), ("s", "u", "b", {}, T0)]
