@@ -75,7 +75,7 @@ def key_figures(surveys: DataFrame) -> DataFrame:
 def chart_series(votes: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
     """Parallel lists of labels and values, by label; one row per page of options."""
     pages = nest_pages(
-        votes, by=[], key="technology", item=["technology", "votes"], sort=[F.col("technology")],
+        votes, by=[], key="technology", count="votes", sort=[F.col("technology")],
         name="bars", page_size=page_size,
     )
     return pages.select(

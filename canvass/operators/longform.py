@@ -27,7 +27,7 @@ def counts_in_order(counts: DataFrame) -> DataFrame:
 def answers_nested(counts: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
     """Per question the list of its answers with their counts, frequent ones first."""
     return nest_pages(
-        counts, by=["question"], key="answer", item=["answer", "count"],
+        counts, by=["question"], key="answer", count="count",
         sort=[(-F.col("count")).alias("by_count"), F.col("answer")],
         name="answers", page_size=page_size,
     )

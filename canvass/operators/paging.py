@@ -10,16 +10,19 @@ from pyspark.sql import functions as F
 PAGE_SIZE = 10_000
 
 
-def nest_pages(rows: DataFrame, by: list[str], key: str, item: list[str], sort: list[Column],
+def nest_pages(rows: DataFrame, by: list[str], key: str, count: str, sort: list[Column],
                name: str = "items", page_size: int = PAGE_SIZE) -> DataFrame:
-    """Nest the rows of each group into sorted lists of about ``page_size`` items.
+    """Nest ``key`` and ``count`` of each group into sorted lists of about ``page_size`` items.
 
-    ``rows`` has one row per group and ``key``.  A group that fits is one row, page 0,
+    ``rows`` has one row per group and ``key``, with a positive ``count``.  A group that fits is one row, page 0,
     the plain nested list.  A larger one is split by a hash of the key into as many
     pages as needed, each sorted by itself, so no list grows without bound and no item
     is left out.  Without grouping columns all rows are one group.
     """
-    sizes = rows.groupBy(*by).agg(F.ceil(F.count("*") / page_size).cast("int").alias("pages"))
+    # counting by the condition, not the rows, keeps the column needed on this side too, so
+    # both sides are the same up to the shuffle below the counts, which then runs once
+    size = F.count_if(F.col(count) > 0)
+    sizes = rows.groupBy(*by).agg(F.ceil(size / page_size).cast("int").alias("pages"))
     if by:
         # the grouping columns can be NULL, hence the null-safe join
         same = reduce(
@@ -28,7 +31,7 @@ def nest_pages(rows: DataFrame, by: list[str], key: str, item: list[str], sort:
         paged = rows.alias("r").join(sizes.alias("s"), same).select("r.*", "s.pages")
     else:
         paged = rows.withColumn("pages", sizes.scalar())
-    entry = F.struct(*sort, F.struct(*item).alias("item"))
+    entry = F.struct(*sort, F.struct(key, count).alias("item"))
     return (
         paged.groupBy(*by, F.pmod(F.xxhash64(key), F.col("pages")).cast("int").alias("page"))
         .agg(F.array_sort(F.collect_list(entry)).alias(name))

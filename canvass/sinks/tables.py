@@ -23,14 +23,25 @@ def write_partitioned(df: DataFrame, path: str, by: list[str], mode: str = "appe
     df.hint("rebalance", *by).write.mode(mode).partitionBy(*by).parquet(path)
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
+def write_batch(df: DataFrame, path: str, batch_id: int, by: list[str] | None = None) -> None:
     """Append what one micro-batch gave; a repeated batch replaces its earlier output."""
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    folder = f"{path}/batch_id={batch_id}"
+    if by:
+        write_partitioned(df, folder, by, "overwrite")
+    else:
+        overwrite(df, folder)
 
 
-def read_batches(spark: SparkSession, path: str) -> DataFrame:
-    """All batches, with their number in ``batch_id``."""
-    return spark.read.option("basePath", path).parquet(f"{path}/batch_id=*")
+def read_batches(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """All batches, with their number in ``batch_id``.
+
+    A schema is needed where every batch so far was empty and partitioned, as such a
+    batch leaves no file.
+    """
+    reader = spark.read.option("basePath", path)
+    if schema is not None:
+        reader = reader.schema(schema)
+    return reader.parquet(f"{path}/batch_id=*")
 
 
 def write_snapshot(df: DataFrame, path: str, batch_id: int) -> None:

@@ -45,7 +45,7 @@ def start_event_intake(messages: DataFrame, out: str, checkpoints: str,
         decoded = _keep(decode_events(batch))
         try:
             surveys = valid_events(decoded)
-            write_batch(landing_frame(surveys), f"{out}/survey_responses", batch_id)
+            write_batch(landing_frame(surveys), f"{out}/survey_responses", batch_id, ["submitted_date"])
             write_batch(text_features.text_analysis(surveys), f"{out}/text_analysis", batch_id)
             write_batch(logs.audit_events(surveys), f"{out}/spark_surveys", batch_id)
             write_batch(dead_letters(decoded), f"{out}/dead_letters", batch_id)

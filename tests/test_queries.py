@@ -41,6 +41,18 @@ def test_plans_stay_in_the_engine(spark, name):
         assert unwanted not in plan
 
 
+def executed(df) -> str:
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_nested_answers_scan_once(spark):
+    plan = executed(queries()["answers_nested"](spark, SMALL))
+    assert plan.count("FileScan") == 1 and "ReusedExchange" in plan
+    # one scan for the key figures and one for the votes
+    assert executed(queries()["kpi_overview"](spark, SMALL)).count("FileScan") == 2
+
+
 def test_scans_read_only_what_is_needed(spark):
     plan = plan_of(queries()["tech_trends"](spark, SMALL))
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz>" in plan
