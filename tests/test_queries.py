@@ -49,8 +49,7 @@ def executed(df) -> str:
 def test_nested_answers_scan_once(spark):
     plan = executed(queries()["answers_nested"](spark, SMALL))
     assert plan.count("FileScan") == 1 and "ReusedExchange" in plan
-    # one scan for the key figures and one for the votes
-    assert executed(queries()["kpi_overview"](spark, SMALL)).count("FileScan") == 2
+    assert "ReusedExchange" in executed(queries()["kpi_overview"](spark, SMALL))
 
 
 def test_scans_read_only_what_is_needed(spark):
