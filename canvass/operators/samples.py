@@ -73,14 +73,25 @@ def counter_rate(samples: DataFrame, range_seconds: int = 300, bucket_seconds: i
 
     The increase from the first to the last sample there, corrected for resets, divided by
     the time between them; NULL with fewer than two.
+
+    A sliding frame would go over all its samples again for each of them, which a dense series
+    does not allow.  Instead every sample also asks, at the start of its range, for the first
+    sample after that; going back in time, it is the last one passed.
     """
     steps, part = _steps(samples, range_seconds, bucket_seconds or 12 * range_seconds)
     running = part.orderBy("us", "value").rowsBetween(W.unboundedPreceding, 0)
-    lookback = part.orderBy("us").rangeBetween(-(range_seconds * MICROS - 1), 0)
-    rated = steps.withColumn("total", F.sum("step").over(running)).withColumns({
-        "low": F.min("total").over(lookback), "since": F.min("us").over(lookback),
+    totals = steps.withColumn("total", F.sum("step").over(running))
+    asks, is_sample = F.lit(False), F.col("is_sample")
+    marks = totals.withColumn(
+        "is_sample", F.explode(F.when(F.col("own"), F.array(asks, F.lit(True))).otherwise(F.array(F.lit(True))))
+    ).withColumn("at", F.when(is_sample, F.col("us")).otherwise(F.col("us") - range_seconds * MICROS))
+    # a sample exactly at the start is outside, so the question comes before it
+    back = part.orderBy(F.desc("at"), "is_sample", F.desc("us"), F.desc("value")).rowsBetween(W.unboundedPreceding, 0)
+    rated = marks.withColumns({
+        "low": F.last(F.when(is_sample, F.col("total")), ignorenulls=True).over(back),
+        "since": F.last(F.when(is_sample, F.col("us")), ignorenulls=True).over(back),
     })
-    return rated.filter("own").select(
+    return rated.filter(~is_sample).select(
         "metric", "labels", "ts", "value",
         F.try_divide(F.col("total") - F.col("low"), (F.col("us") - F.col("since")) / MICROS).alias("rate"),
     )

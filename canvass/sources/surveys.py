@@ -62,7 +62,8 @@ def decode_events(messages: DataFrame) -> DataFrame:
 
     Native messages carry ``answers`` and ``submittedAt``; messages of the submitting
     service carry ``data`` and epoch milliseconds.  A row is valid when it has both
-    answers and a time; the others belong to the dead letters.
+    answers and a time; the others belong to the dead letters, and only they keep
+    their text in ``value``.
     """
     text = F.col("value").cast("string")
     decoded = compute_once(messages, text.alias("value"), e=F.from_json(text, schemas.EVENT))
@@ -74,7 +75,9 @@ def decode_events(messages: DataFrame) -> DataFrame:
         F.coalesce("e.answers", "e.data").alias("answers"),
         F.coalesce("e.submittedAt", F.timestamp_millis("e.timestamp")).alias("submittedAt"),
         F.col("e.metadata").alias("metadata"),
-    ).withColumn("valid", F.col("answers").isNotNull() & F.col("submittedAt").isNotNull())
+    ).withColumn(
+        "valid", F.col("answers").isNotNull() & F.col("submittedAt").isNotNull()
+    ).withColumn("value", F.when(~F.col("valid"), F.col("value")))
 
 
 def valid_events(decoded: DataFrame) -> DataFrame:
