@@ -34,26 +34,22 @@ def answers_from_responses(responses: Column) -> Column:
     )
 
 
-def _parsed(raw: DataFrame) -> DataFrame:
-    """Add the fields of the body as ``fields``."""
-    return with_json_object(raw, "fields", F.col("body"), BODY)
-
-
-def normalise_submissions(raw: DataFrame, runtime_version: str = "17",
-                          survey_id: Column | None = None) -> DataFrame:
-    """Survey rows out of request bodies.
+def decode_submissions(raw: DataFrame, runtime_version: str = "17",
+                       survey_id: Column | None = None) -> DataFrame:
+    """Survey columns out of request bodies, with ``valid``.
 
     ``raw`` has ``body`` (JSON), ``sessionId``, ``userAgent``, ``referer``, ``ipAddress``
     and ``receivedAt``.  A body without a user is anonymous, while an explicit null stays
-    null.  A body that is no object or has no responses is refused; see
-    ``refused_submissions``.  ``typed_answers`` keeps the JSON type of each answer.
+    null.  A body that is no object or has no responses is not valid, and only then is its
+    text kept.  ``typed_answers`` holds the JSON type of each answer.
     """
-    accepted = _parsed(raw).filter("fields.responses IS NOT NULL")
+    parsed = with_json_object(raw, "fields", F.col("body"), BODY)
+    typed = compute_once(parsed, typed_answers=answers_from_responses(F.col("fields.responses")))
     user = F.when(F.col("fields.userId").isNull(), F.lit(ANONYMOUS)).otherwise(
         string_only(F.col("fields.userId"))
     )
     received = F.col("receivedAt").cast("timestamp")
-    typed = compute_once(accepted, typed_answers=answers_from_responses(F.col("fields.responses")))
+    valid = F.col("fields.responses").isNotNull()
     return typed.select(
         (survey_id if survey_id is not None else F.lit(SURVEY_ID)).alias("surveyId"),
         user.alias("userId"),
@@ -73,12 +69,22 @@ def normalise_submissions(raw: DataFrame, runtime_version: str = "17",
             ).alias("technicalData"),
         ).alias("metadata"),
         "typed_answers",
+        F.when(~valid, F.col("body")).alias("body"),
+        valid.alias("valid"),
     )
 
 
-def refused_submissions(raw: DataFrame) -> DataFrame:
-    """Bodies that ``normalise_submissions`` does not take."""
-    return _parsed(raw).filter("fields.responses IS NULL").select(*raw.columns)
+def accepted_submissions(decoded: DataFrame) -> DataFrame:
+    return decoded.filter("valid").drop("body", "valid")
+
+
+def refused_submissions(decoded: DataFrame) -> DataFrame:
+    return decoded.filter("NOT valid").select("body", "sessionId", "submittedAt")
+
+
+def normalise_submissions(raw: DataFrame, **options) -> DataFrame:
+    """Survey rows of the bodies that are valid; see ``decode_submissions``."""
+    return accepted_submissions(decode_submissions(raw, **options))
 
 
 def answer_rows(surveys: DataFrame, questions: DataFrame, survey_type: str = "java-survey") -> DataFrame:

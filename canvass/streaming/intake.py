@@ -63,8 +63,9 @@ def start_submissions(bodies: DataFrame, out: str, checkpoints: str, interval: s
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        surveys = _keep(submissions.normalise_submissions(batch).drop("typed_answers"))
+        decoded = _keep(submissions.decode_submissions(batch).drop("typed_answers"))
         try:
+            surveys = submissions.accepted_submissions(decoded)
             write_batch(surveys, f"{out}/survey_responses", batch_id)
             messages = submission_messages(surveys)
             if publish:
@@ -72,9 +73,9 @@ def start_submissions(bodies: DataFrame, out: str, checkpoints: str, interval: s
             else:
                 write_batch(messages, f"{out}/survey_events", batch_id)
             write_batch(logs.submission_log(surveys), f"{out}/logs", batch_id)
-            write_batch(submissions.refused_submissions(batch), f"{out}/refused", batch_id)
+            write_batch(submissions.refused_submissions(decoded), f"{out}/refused", batch_id)
         finally:
-            surveys.unpersist()
+            decoded.unpersist()
 
     return _start(bodies, "submissions", write, checkpoints, interval)
 

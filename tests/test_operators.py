@@ -151,7 +151,7 @@ def test_submissions(spark):
     assert rows["s1"]["answers"] == {} and rows["s1"]["userId"] == "anonymous"
     assert rows["s2"]["answers"] == {"a": None} and rows["s2"]["userId"] is None
     assert rows["s0"]["metadata"]["technicalData"]["springVersion"] == "3.1.0"
-    assert submissions.refused_submissions(raw).count() == 5
+    assert submissions.refused_submissions(submissions.decode_submissions(raw)).count() == 5
 
 
 def test_answers_to_rows_and_back(spark):

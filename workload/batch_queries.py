@@ -446,7 +446,7 @@ WITH {S} SELECT CASE architecture_suggestions WHEN 'Super' THEN '{{"responses":n
 count(*) AS n FROM s WHERE architecture_suggestions IN ('Super', 'problem z kolejką') GROUP BY 1""")
 def refused_submissions(spark, sf_dir):
     bodies = fx.request_bodies(fx.table(spark, sf_dir, "events"))
-    return submissions.refused_submissions(bodies).groupBy("body").agg(F.count("*").alias("n"))
+    return submissions.refused_submissions(submissions.decode_submissions(bodies)).groupBy("body").agg(F.count("*").alias("n"))
 
 
 # queue lines by the last digit of the event: see fixtures.queue_lines
