@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from canvass.operators import reports
 from canvass.schemas import HOT_ANSWERS
+from canvass.sinks.connectors import Writer
 from canvass.sinks.ledger import recorded
 from canvass.sinks.tables import append, overwrite, write_partitioned
 from canvass.sources.surveys import landing_frame
@@ -44,8 +45,12 @@ def stored_summary(spark: SparkSession, out: str) -> DataFrame:
     )
 
 
-def run_batch_report(surveys: DataFrame, out: str, land_to: str | None = None) -> dict:
-    """Write everything below ``out``; give ``land_to`` for sources that are not columnar."""
+def run_batch_report(surveys: DataFrame, out: str, land_to: str | None = None,
+                     copy: Writer | None = None) -> dict:
+    """Write everything below ``out``; give ``land_to`` for sources that are not columnar.
+
+    ``copy`` takes the stored tables to a further store, without computing them again.
+    """
     spark = surveys.sparkSession
 
     def job() -> dict:
@@ -54,6 +59,9 @@ def run_batch_report(surveys: DataFrame, out: str, land_to: str | None = None) -
         summary = stored_summary(spark, out)
         generated = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
         append(summary.select(generated.alias("generated_at"), "*"), f"{out}/survey_reports")
+        if copy:
+            for name in (*REPORTS, "survey_reports"):
+                copy(spark.read.parquet(f"{out}/{name}"), name)
         span = source.agg(
             F.min(F.col("submittedAt").cast("timestamp")).alias("start"),
             F.max(F.col("submittedAt").cast("timestamp")).alias("end"),

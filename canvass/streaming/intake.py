@@ -38,7 +38,7 @@ def start_event_intake(messages: DataFrame, out: str, checkpoints: str,
     """Decode a topic once and write all its stateless outputs.
 
     Landed submissions, text features, audit documents, and the messages that could not
-    be read.  Queries with state can read the landed table instead of the topic.
+    be read.  For streams to go on from, use ``queries.start_landing``.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:

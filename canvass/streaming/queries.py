@@ -8,11 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from canvass.operators import logs, popularity, ratings, text_features
+from canvass.sinks.connectors import Writer
 from canvass.sinks.tables import write_batch, write_snapshot
+from canvass.sources.surveys import landing_frame
 
 # Trigger intervals.
 TRIGGERS = {
@@ -42,14 +46,33 @@ def _per_batch(df: DataFrame, name: str, mode: str, write: Callable, out: str, c
     )
 
 
-def start_text(surveys: DataFrame, out: str, checkpoints: str, interval: str | None = None) -> StreamingQuery:
+def copying(write: Callable, copy: Writer) -> Callable:
+    """Store a batch, then take the stored rows to a further store.
+
+    That store sees a repeated batch again, so it gets the batch's number with the rows.
+    """
+
+    def store(batch: DataFrame, path: str, batch_id: int) -> None:
+        kept = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            write(kept, path, batch_id)
+            copy(kept.withColumn("batch_id", F.lit(batch_id)), path.rsplit("/", 1)[-1])
+        finally:
+            kept.unpersist()
+
+    return store
+
+
+def start_text(surveys: DataFrame, out: str, checkpoints: str, interval: str | None = None,
+               write: Callable = write_batch) -> StreamingQuery:
     """Features of every suggestion, appended."""
     return _per_batch(text_features.text_analysis(surveys), "text_analysis", "append",
-                      write_batch, out, checkpoints, interval)
+                      write, out, checkpoints, interval)
 
 
 def start_ratings(surveys: DataFrame, out: str, checkpoints: str, interval: str | None = None,
-                  duration: str = RATING_WINDOW, watermark: str | None = WATERMARK) -> StreamingQuery:
+                  duration: str = RATING_WINDOW, watermark: str | None = WATERMARK,
+                  write: Callable = write_batch) -> StreamingQuery:
     """Windows that changed, one folder per batch; ``latest_per_key`` on the window reads them.
 
     The watermark bounds the state; later rows are dropped and counted.  Without it the
@@ -58,7 +81,7 @@ def start_ratings(surveys: DataFrame, out: str, checkpoints: str, interval: str
     if watermark:
         surveys = surveys.withWatermark("submittedAt", watermark)
     return _per_batch(ratings.rating_windows(surveys, duration), "rating_analysis", "update",
-                      write_batch, out, checkpoints, interval)
+                      write, out, checkpoints, interval)
 
 
 def start_final_ratings(surveys: DataFrame, out: str, checkpoints: str, interval: str | None = None,
@@ -68,10 +91,11 @@ def start_final_ratings(surveys: DataFrame, out: str, checkpoints: str, interval
     return _per_batch(windows, "rating_final", "append", write_batch, out, checkpoints, interval)
 
 
-def start_popularity(surveys: DataFrame, out: str, checkpoints: str, interval: str | None = None) -> StreamingQuery:
+def start_popularity(surveys: DataFrame, out: str, checkpoints: str, interval: str | None = None,
+                     write: Callable = write_snapshot) -> StreamingQuery:
     """The whole table at every trigger, with sketched distinct counts."""
     return _per_batch(popularity.tech_popularity(surveys, exact=False), "tech_popularity", "complete",
-                      write_snapshot, out, checkpoints, interval)
+                      write, out, checkpoints, interval)
 
 
 def start_popularity_partials(surveys: DataFrame, out: str, checkpoints: str,
@@ -99,6 +123,22 @@ def start_audit(surveys: DataFrame, out: str, checkpoints: str, interval: str |
     )
 
 
+def start_landing(surveys: DataFrame, out: str, checkpoints: str, interval: str | None = None) -> StreamingQuery:
+    """Submissions in columns, partitioned by day, for reports and for further streams.
+
+    The file sink keeps a log of its files, so a stream that reads the folder sees each row
+    once, also after a batch was repeated.
+    """
+    return (
+        landing_frame(surveys).writeStream.queryName("survey_responses")
+        .outputMode("append").format("parquet").partitionBy("submitted_date")
+        .option("path", f"{out}/survey_responses")
+        .option("checkpointLocation", f"{checkpoints}/survey_responses")
+        .trigger(**_trigger(interval))
+        .start()
+    )
+
+
 def late_rows(query: StreamingQuery) -> int:
     """Rows the query dropped as too late, over the progress it still remembers."""
     return sum(

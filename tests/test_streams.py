@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from canvass import schemas
 from canvass.operators import popularity, ratings, text_features
-from canvass.sinks import ledger, tables
+from canvass.plans.batch_report import run_batch_report
+from canvass.sinks import connectors, ledger, tables
 from canvass.sinks.messages import submission_messages
 from canvass.sources.surveys import decode_events, read_event_files, valid_events
 from canvass.sources.tables import jdbc_options
@@ -158,8 +159,15 @@ def test_event_intake(spark, dirs):
     landed = tables.read_batches(spark, f"{out}/survey_responses")
     assert landed.count() == 30 and set(schemas.HOT_ANSWERS) < set(landed.columns)
     assert [r["value"] for r in tables.read_batches(spark, f"{out}/dead_letters").collect()] == ["broken"]
-    # queries with state read the landed table
-    again = spark.readStream.schema(landed.drop("batch_id").schema).parquet(f"{out}/survey_responses/batch_id=*")
+
+
+def test_streams_go_on_from_the_landed_table(spark, dirs):
+    folder, out, checkpoints = dirs
+    fill(folder)
+    queries.start_landing(stream(spark, folder), out, checkpoints).awaitTermination()
+    landed = spark.read.parquet(f"{out}/survey_responses")
+    assert landed.count() == 30 and "submitted_date" in landed.columns
+    again = spark.readStream.schema(landed.schema).parquet(f"{out}/survey_responses")
     queries.start_ratings(again, out, checkpoints, watermark=None).awaitTermination()
     got = tables.latest_per_key(tables.read_batches(spark, f"{out}/rating_analysis"), ["window"])
     assert rows(got) == rows(ratings.rating_windows(batch(spark, folder)))
@@ -180,6 +188,41 @@ def test_router_publishes_what_it_forwards(spark, dirs):
     assert not os.path.exists(f"{out}/forwarded")
 
 
+def test_stored_rows_are_copied(spark, dirs):
+    folder, out, checkpoints = dirs
+    fill(folder)
+    copies = []
+
+    def copy(df, name):
+        copies.append((name, df.count(), "batch_id" in df.columns))
+
+    write = queries.copying(tables.write_batch, copy)
+    queries.start_text(stream(spark, folder), out, checkpoints, write=write).awaitTermination()
+    assert copies == [("text_analysis", 8, True), ("text_analysis", 8, True), ("text_analysis", 0, True)]
+    assert tables.read_batches(spark, f"{out}/text_analysis").count() == 16
+
+
+def test_batch_report_is_stored_and_copied(spark, dirs):
+    folder, out, _ = dirs
+    fill(folder)
+    copies = {}
+    source = batch(spark, folder).drop("metadata")
+    run_batch_report(source, out, f"{out}/landed", copy=lambda df, name: copies.update({name: df.count()}))
+    assert copies == {"daily_stats": 1, "tech_trends": 3, "correlations": 1, "hourly_report": 1, "survey_reports": 1}
+    run_batch_report(source, out)
+    assert spark.read.parquet(f"{out}/survey_reports").count() == 2
+    assert spark.read.parquet(f"{out}/daily_stats").count() == 1
+
+
+@pytest.mark.parametrize("writer", [
+    connectors.to_collections("mongodb://h", "db"), connectors.to_indices("h"),
+    connectors.to_tables("jdbc:postgresql://h/db"),
+])
+def test_stores_need_their_packages(spark, writer):
+    with pytest.raises(Exception, match="(?i)DATA_SOURCE_NOT_FOUND|No suitable driver|Failed to find"):
+        writer(spark.range(1), "t")
+
+
 def test_message_keys_spread(spark):
     df = spark.createDataFrame([("s", "u", f"x{i}", {"a": "1"}, T0) for i in range(3)],
                                "surveyId string, userId string, sessionId string, answers map<string,string>, submittedAt timestamp")

@@ -284,11 +284,11 @@ k AS (SELECT count(*) AS n, floor(avg(CASE WHEN spring_performance IS NOT NULL
              THEN {UP.format('spring_performance')} END) * 10 + 0.5) / 10 AS rating,
              count(DISTINCT sessionId) AS sessions,
              {", ".join(f"count(*) FILTER (spring_performance IS NOT NULL AND ({UP.format('spring_performance')}) = {r}) AS n{r}" for r in ratings.RATINGS[1:])}
-      FROM s),
-t AS (SELECT string_agg(technology || '=' || CAST(votes AS VARCHAR), ';' ORDER BY technology) AS pop FROM g)
+      FROM s)
 SELECT n AS "totalResponses", rating AS "avgRating", sessions AS "uniqueUsers", 0 AS page,
-       pop AS "techPopularity", concat_ws(',', n1, n2, n3, n4, n5) AS "ratingsChart"
-FROM k, t""")
+       (SELECT string_agg(technology || '=' || CAST(votes AS VARCHAR), ';' ORDER BY technology) FROM g) AS "techPopularity",
+       concat_ws(',', n1, n2, n3, n4, n5) AS "ratingsChart"
+FROM k""")
 def kpi_overview(spark, sf_dir):
     record = kpi.overview(documents_of(spark, sf_dir))
     return record.select(

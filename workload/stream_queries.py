@@ -64,6 +64,24 @@ def stream_text(spark, sf_dir):
     return rows.withColumn("submittedAt", stamp("submittedAt"))
 
 
+@query("stream_landing", f"""
+WITH {J}
+SELECT strftime(submittedAt, '%Y-%m-%d') AS submitted_date, surveyId AS "surveyId", count(*) AS submissions,
+       count(DISTINCT sessionId) AS sessions, count(java_tech_interest) AS choices
+FROM s GROUP BY 1, 2""")
+def stream_landing(spark, sf_dir):
+    """Landed by the file sink in columns and day folders."""
+    out, checkpoints = folders(spark, "landing")
+    finish(queries.start_landing(event_stream(spark, sf_dir), out, checkpoints))
+    landed = spark.read.parquet(f"{out}/survey_responses")
+    day = F.date_format("submitted_date", "yyyy-MM-dd").alias("submitted_date")
+    return landed.groupBy(day, "surveyId").agg(
+        F.count("*").alias("submissions"),
+        F.count_distinct("sessionId").alias("sessions"),
+        F.count("java_tech_interest").alias("choices"),
+    )
+
+
 def _with_counts(windows):
     counts = F.col("rating_counts")
     return _windows(windows).withColumns({f"n{r}": counts[r] for r in range(6)}).drop("rating_counts")
