@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canvass.llm.bpe import bpe
+from canvass.llm.chats import format_chats
+from canvass.llm.decontaminate import benchmark_hits
+from canvass.llm.language import language_id
+from canvass.llm.near_dedup import near_duplicates
+from canvass.llm.near_vectors import near_vectors
 from canvass.llm.substring_dedup import substring_dedup
 from canvass.llm.suffix_dedup import suffix_dedup
+from canvass.llm.toxicity import toxicity
+from canvass.llm.warc import round_trip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +26,48 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents")).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = F.sha2(F.col("kept").cast("binary"), 256)
     return substring_dedup(table(spark, sf_dir, "documents")).withColumn("kept_sha256", kept).drop("kept")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
+def op6_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = format_chats(table(spark, sf_dir, "conversations"))
+    return chats.withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256)).drop("text")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 # islands of covered tokens from the starts f(doc_id, p) of covered windows
 ISLANDS = """
  g AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + {w} THEN 0 ELSE 1 END AS opens FROM f),
@@ -56,5 +102,37 @@ SELECT doc_id, CAST(len(h) AS BIGINT) AS n_words, CAST(coalesce(removed, 0) AS B
        sha256(array_to_string(list_concat(coalesce(kept, []), h[(coalesce(last, 0) + 1)::BIGINT:]), ' ')) AS kept_sha256
 FROM d LEFT JOIN k USING (doc_id)"""
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_substring_dedup)}
-ORACLES = {"op1_suffix_dedup": OP1_SQL, "op3_substring_dedup": OP3_SQL}
+OP5_SQL = """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+ d AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS h, min(page_id) OVER (PARTITION BY payload) AS first FROM p),
+ v AS (SELECT *, list_transform(range(0, 8), lambda i: CAST('0x' || substr(h, 5 * i + 1, 5) AS BIGINT)) AS fives FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       array_to_string(flatten(list_transform(fives, lambda v: list_transform([15, 10, 5, 0],
+           lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((v >> s) & 31) + 1 AS BIGINT), 1)))), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM v"""
+
+OP6_SQL = """WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+ c AS (SELECT conv_id, count(*) AS n, list(md5(turn || ' ' || role || ' ' || text) ORDER BY turn, role, text) AS steps,
+              string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS text
+       FROM t GROUP BY conv_id),
+ p AS (SELECT DISTINCT array_to_string(steps[1:k], ' ') AS prefix
+       FROM (SELECT steps, unnest(range(1, n)) AS k FROM c)),
+ w AS (SELECT *, row_number() OVER (PARTITION BY steps ORDER BY conv_id) AS r, count(*) OVER (PARTITION BY steps) AS copies FROM c)
+SELECT conv_id, n AS n_turns, copies, sha256(text) AS text_sha256 FROM w
+WHERE r = 1 AND array_to_string(steps, ' ') NOT IN (SELECT prefix FROM p)"""
+
+OP9_SQL = """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ s AS (SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM s a, s b WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+ r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+ c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+ n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM c LEFT JOIN n USING (vec_id)"""
+
+QUERIES = {f.__name__: f for f in (
+    op1_suffix_dedup, op2_bpe, op3_substring_dedup, op4_near_dedup, op5_warc, op6_chats, op7_toxicity, op8_language,
+    op9_near_vectors, op10_decontaminate)}
+ORACLES = {"op1_suffix_dedup": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op5_warc": OP5_SQL, "op6_chats": OP6_SQL,
+           "op9_near_vectors": OP9_SQL}

@@ -272,12 +272,11 @@ def runs_of(found: DataFrame, *more: str) -> DataFrame:
 
 
 def with_text(docs: DataFrame, runs: DataFrame, how: str = "inner") -> DataFrame:
-    return docs.alias("d").join(runs.alias("r"), F.expr("d.doc_id = r.doc AND d.tag = r.tag"), how).select(
-        "d.doc_id", "d.tag", "d.text", "r.runs")
+    return docs.alias("d").join(runs.alias("r"), F.expr("d.doc_id = r.doc AND d.tag = r.tag"), how).select("d.*", "r.runs")
 
 
 def usable(docs: DataFrame, rule: Rule) -> DataFrame:
-    return docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= rule.width))
+    return docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= rule.width)).select("doc_id", "tag", "text")
 
 
 def segment_round(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -293,11 +292,12 @@ def window_round(docs: DataFrame, rule: Rule, unclear: DataFrame) -> DataFrame:
     return stored(sorted_rows(rows).mapInArrow(compared(rule), FOUND_SQL), "windows").filter(F.col("state") == COVERED)
 
 
-def tagged(docs: DataFrame) -> DataFrame:
-    """doc_id, text (NULL as empty) and a tag of the text that tells rows of one id apart."""
+def tagged(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """doc_id, text (NULL as empty), a tag of the text that tells rows of one id apart, and the
+    columns to keep, as one."""
     text = F.coalesce(F.col("text"), F.lit(""))
     tag = (F.crc32(text.cast("binary")) % (1 << TAG_BITS)).cast("int")
-    return docs.select(F.col("doc_id").cast("long"), tag.alias("tag"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long"), tag.alias("tag"), text.alias("text"), *([F.struct(*keep).alias("kept_columns")] if keep else []))
 
 
 def union_of(first: np.ndarray, last: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

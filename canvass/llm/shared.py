@@ -5,9 +5,12 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+from collections.abc import Callable
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from canvass.session import work_dir
 
@@ -57,3 +60,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     with settings(spark, **{CLEANUP.replace(".", "__"): "true"}):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def by_text(docs: DataFrame, make: Callable[[], Callable[[list], list]], kind: pa.DataType, sql: str) -> DataFrame:
+    """(row, value): each whole row of ``docs`` and what a function finds for its text.
+
+    ``make`` is called once per task and returns the function from texts to values.  The rows
+    travel as one column, so their names clash with nothing.
+    """
+    prepare(docs.sparkSession)
+    packed = docs.select(F.struct("*").alias("row"), "text")
+
+    def run(batches):
+        values = make()
+        for batch in batches:
+            found = pa.array(values(batch.column("text").to_pylist()), kind)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), found], names=["row", "value"])
+
+    return packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, value {sql}")

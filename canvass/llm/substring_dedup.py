@@ -86,7 +86,7 @@ def repeated_windows(docs: DataFrame, rule: Rule) -> DataFrame:
     return runs_of(covered)
 
 
-def cut_words(width: int):
+def cut_words(width: int, keep: bool):
     def run(batches):
         for batch in batches:
             out = []
@@ -101,15 +101,18 @@ def cut_words(width: int):
                 kept = [w for a, b in zip(np.append(0, end), np.append(begin, len(words)), strict=True) for w in words[a:b]]
                 out.append((len(words), len(words) - len(kept), b" ".join(kept).decode()))
             columns = list(zip(*out, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c, t.type) for c, t in zip(columns, list(OUT)[1:], strict=True))], schema=OUT)
+            arrays = [batch.column("doc_id"), *(pa.array(c, t.type) for c, t in zip(columns, list(OUT)[1:], strict=True))]
+            extra = ["kept_columns"] if keep else []
+            yield pa.RecordBatch.from_arrays([*arrays, *(batch.column(c) for c in extra)], names=[*OUT.names, *extra])
 
     return run
 
 
-def substring_dedup(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
+def substring_dedup(docs: DataFrame, rule: Rule = RULE, keep: list[str] = ()) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words, joined by blanks, of every row of ``docs``.
 
+    The columns named by ``keep`` are passed on in a struct ``kept_columns``.
+
     A word goes if a window of ``rule.width`` words that covers it also starts earlier: in a
     document with a smaller doc_id, or before it in the same one.  Windows are judged on the
     input.  A NULL text has no words; shorter texts are kept; rows with a NULL doc_id are kept
@@ -117,6 +120,8 @@ def substring_dedup(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     get equal results; rows of one doc_id with different texts come in the order of a hash of
     the text.  Other columns of ``docs``, whatever their names, are not used.
     """
-    docs = tagged(docs)
-    return with_text(docs, repeated_windows(docs, rule), "left").mapInArrow(
-        cut_words(rule.width), "doc_id long, n_words long, n_removed long, kept string")
+    docs = tagged(docs, keep)
+    fields = "doc_id long, n_words long, n_removed long, kept string"
+    if keep:
+        fields += f", kept_columns {docs.schema['kept_columns'].dataType.simpleString()}"
+    return with_text(docs, repeated_windows(docs, rule), "left").mapInArrow(cut_words(rule.width, bool(keep)), fields)
