@@ -86,7 +86,7 @@ class WarcWriter(DataSourceWriter):
         for row in iterator:
             if out is None:
                 files.append(f"{uuid.uuid4().hex}.warc.gz")
-                out, size = system.open_output_stream(f"{path}/_pending/{files[-1]}"), 0
+                out, size = system.open_output_stream(f"{path}/_pending/{files[-1]}", compression=None), 0
             size += out.write(member(record_of(row), self.level))
             if size >= FILE_BYTES:
                 out.close()
