@@ -278,6 +278,11 @@ def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """The records of all archives in a folder.
+
+    Load anew for each set of predicates: Spark keeps one reader for a loaded frame, and pushes
+    the predicates of all its uses to it.
+    """
     register(spark)
     return spark.read.format("warc").load(path)
 
@@ -291,14 +296,13 @@ def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     spark = pages.sparkSession
     path = work_dir(spark, "warc")
     write_archives(pages, path, least)
-    records = read_archives(spark, path)
     page = F.regexp_extract(F.col("record_id"), "^<urn:page:(-?[0-9]*)>$", 1)
     other = F.regexp_extract(F.col("refers_to"), "^<urn:page:(-?[0-9]*)>$", 1)
-    responses = records.filter(F.col("warc_type") == "response").select(
+    responses = read_archives(spark, path).filter(F.col("warc_type") == "response").select(
         page.try_cast("long").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"),
         base32_sha1(F.col("payload")).alias("payload_digest"), F.lit("response").alias("record_type"),
         F.lit(None).cast("long").alias("refers_to"), F.col("target_uri").alias("url"))
-    revisits = records.filter(F.col("warc_type") == "revisit").select(
+    revisits = read_archives(spark, path).filter(F.col("warc_type") == "revisit").select(
         page.try_cast("long").alias("page_id"), F.col("payload_length").alias("payload_bytes"),
         F.substring_index("payload_digest", ":", -1).alias("payload_digest"), F.lit("revisit").alias("record_type"),
         other.try_cast("long").alias("refers_to"), F.col("target_uri").alias("url"))
