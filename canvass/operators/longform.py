@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canvass.operators.joins import small_side
 from canvass.operators.paging import PAGE_SIZE, nest_pages
 
 
+# What a browser trims, the blanks of Unicode, line ends and the byte order mark.
+BLANKS = r"[\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+
+
 def clean_answers(answers: DataFrame) -> DataFrame:
     """Trim answers and leave out the blank and missing ones."""
-    trimmed = F.regexp_replace("answer", r"^\s+|\s+$", "")
+    trimmed = F.regexp_replace("answer", rf"^{BLANKS}+|{BLANKS}+$", "")
     return answers.withColumn("answer", trimmed).filter(F.col("answer") != "")
 
 
@@ -28,7 +31,7 @@ def answers_nested(counts: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
     """Per question the list of its answers with their counts, frequent ones first."""
     return nest_pages(
         counts, by=["question"], key="answer", count="count",
-        sort=[(-F.col("count")).alias("by_count"), F.col("answer")],
+        sort=[F.desc("count"), F.col("answer")],
         name="answers", page_size=page_size,
     )
 
@@ -70,7 +73,7 @@ def answers_with_question(answers: DataFrame, questions: DataFrame, key: str = "
         F.min_by("text", "position").alias("text")
     )
     return (
-        answers.join(small_side(texts), F.col(key).cast("string") == F.col("catalogue_id"), "left")
+        answers.join(texts, F.col(key).cast("string") == F.col("catalogue_id"), "left")
         .withColumn("question", F.coalesce("text", F.lit("")))
         .drop("catalogue_id", "text")
     )

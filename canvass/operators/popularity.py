@@ -40,6 +40,12 @@ def partial_popularity(surveys: DataFrame) -> DataFrame:
     )
 
 
+def merge_partials(partials: DataFrame) -> DataFrame:
+    """Partial counts of several micro-batches as those of one, the newest."""
+    return partials.groupBy("technology_clean", "submittedAt").agg(
+        F.sum("votes").alias("votes"), F.max("batch_id").alias("batch_id"))
+
+
 def merge_popularity(partials: DataFrame) -> DataFrame:
     """The popularity table out of the partial counts of any number of micro-batches."""
     return partials.groupBy("technology_clean").agg(

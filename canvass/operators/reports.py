@@ -73,6 +73,60 @@ def answer_correlations(surveys: DataFrame, match: str = "contains") -> DataFram
     )
 
 
+def cells(surveys: DataFrame) -> DataFrame:
+    """Submissions counted by day, hour and the scores of their answers, with their span.
+
+    Few rows, from which counts, means and correlations follow without the submissions.
+    """
+    spring = answer(surveys, SPRING)
+    scored = surveys.select(
+        F.to_date("submittedAt").alias("date"), F.hour("submittedAt").alias("hour"),
+        rating(spring, DESCENDING).alias("spring"), rating(spring, TOP_TWO).alias("top_two"),
+        rating(answer(surveys, INTEGRATION), DESCENDING).alias("integration"),
+        usefulness(answer(surveys, ELK), "contains").alias("elk"),
+        F.col("submittedAt").cast("timestamp").alias("at"),
+    )
+    return scored.groupBy("date", "hour", "spring", "top_two", "integration", "elk").agg(
+        F.count("*").alias("n"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+
+
+def distinct_people(surveys: DataFrame, exact: bool = True) -> DataFrame:
+    """Distinct users and sessions per day, and per hour of the day, in one pass."""
+    distinct = F.count_distinct if exact else F.approx_count_distinct
+    timed = surveys.select(
+        F.to_date("submittedAt").alias("date"), F.hour("submittedAt").alias("hour"), "userId", "sessionId")
+    sets = timed.groupingSets([["date"], ["hour"]], "date", "hour")
+    return sets.agg(distinct("userId").alias("users"), distinct("sessionId").alias("sessions"), F.grouping("hour").alias("by_day"))
+
+
+def _mean(score: str):
+    return (F.sum(F.col("n") * F.col(score)) / F.sum("n")).alias("avg_rating")
+
+
+def daily_from(counted: DataFrame, people: DataFrame) -> DataFrame:
+    """``daily_stats`` from cells and distinct people."""
+    days = people.filter("by_day = 1").select(F.col("date").alias("d"), "users", "sessions")
+    totals = counted.groupBy("date").agg(F.sum("n").alias("total_submissions"), _mean("spring"))
+    return totals.join(days, F.col("date").eqNullSafe(F.col("d"))).select(
+        "date", "total_submissions", F.col("users").alias("unique_users"), F.col("sessions").alias("unique_sessions"), "avg_rating")
+
+
+def hourly_from(counted: DataFrame, people: DataFrame) -> DataFrame:
+    """``hourly_report`` from cells and distinct people."""
+    hours = people.filter("by_day = 0").select(F.col("hour").alias("h"), "users")
+    totals = counted.groupBy("hour").agg(F.sum("n").alias("submissions"), _mean("top_two"))
+    return totals.join(hours, F.col("hour").eqNullSafe(F.col("h"))).select("hour", "submissions", "users", "avg_rating")
+
+
+def correlations_from(counted: DataFrame) -> DataFrame:
+    """``answer_correlations`` from cells."""
+    return counted.agg(
+        pearson("spring", "integration", "n").alias("spring_integration_corr"),
+        pearson("spring", "elk", "n").alias("spring_elk_corr"),
+        pearson("integration", "elk", "n").alias("integration_elk_corr"),
+    )
+
+
 def run_summary(daily: DataFrame, hourly: DataFrame, correlations: DataFrame) -> DataFrame:
     """One row about a finished run: days, hours, rating correlation (NULL stays NULL)."""
     parts = (

@@ -6,6 +6,8 @@ one set of labels.
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -101,23 +103,33 @@ def rate_on_grid(samples: DataFrame, range_seconds: int = 300, step_seconds: int
                  bucket_seconds: int | None = None) -> DataFrame:
     """The same rate at common times, all multiples of ``step_seconds``.
 
-    Each sample counts towards the grid times whose range holds it.  Its step counts only
-    where its predecessor is in the range as well.
+    The samples are first added up to slots that divide both the step and the range, so only one row
+    per series and slot is repeated for the grid times whose range holds it.  The step into a
+    slot counts only where the sample before it is in the range as well.
     """
     steps, _ = _steps(samples, range_seconds, bucket_seconds or 12 * range_seconds)
+    slot = gcd(range_seconds, step_seconds) * MICROS
     step, span = step_seconds * MICROS, range_seconds * MICROS
-    # times after 1970 are positive, for which div rounds down
-    first = F.expr(f"(us + {step - 1}) div {step}")
-    last = F.expr(f"(us + {span - 1}) div {step}")
+    # times after 1970 are positive, for which div rounds down; a slot ends at its number
+    number = F.expr(f"(us + {slot - 1}) div {slot}")
+    placed = steps.filter("own").withColumn("slot", number)
+    within = F.col("previous_us") > (F.col("slot") - 1) * slot
+    slots = placed.groupBy("metric", "series", "slot").agg(
+        F.sum(F.when(within, F.col("step")).otherwise(0.0)).alias("inner"),
+        F.sum(F.when(within, 0.0).otherwise(F.col("step"))).alias("entry"),
+        F.min("previous_us").alias("before"),
+        F.min("us").alias("first"), F.max("us").alias("last"),
+    )
+    first = F.expr(f"(slot * {slot} + {step - 1}) div {step}")
+    last = F.expr(f"((slot - 1) * {slot} + {span}) div {step}")
     on_grid = (
-        steps.filter("own")
-        .filter(first <= last)
+        slots.filter(first <= last)
         .withColumn("k", F.explode(F.sequence(first, last)))
         .withColumn("eval_us", F.col("k") * step)
     )
-    inside = F.col("previous_us") > F.col("eval_us") - span
-    total = F.sum(F.when(inside, F.col("step")).otherwise(0.0))
-    seconds = (F.max("us") - F.min("us")) / MICROS
+    inside = F.col("before") > F.col("eval_us") - span
+    total = F.sum(F.col("inner") + F.when(inside, F.col("entry")).otherwise(0.0))
+    seconds = (F.max("last") - F.min("first")) / MICROS
     return (
         on_grid.groupBy("metric", "series", "eval_us")
         .agg(F.try_divide(total, seconds).alias("rate"))
@@ -128,10 +140,15 @@ def rate_on_grid(samples: DataFrame, range_seconds: int = 300, step_seconds: int
     )
 
 
+# The counter of processor seconds and its idle mode.
+CPU_SECONDS, IDLE = "node_cpu_seconds_total", "idle"
+
+
 def busy_percent(samples: DataFrame, by: str = "instance", range_seconds: int = 300,
-                 step_seconds: int = 60) -> DataFrame:
+                 step_seconds: int = 60, metric: str = CPU_SECONDS, mode: str = IDLE) -> DataFrame:
     """100 minus the mean idle rate in percent, per label value and grid time."""
-    rates = rate_on_grid(samples, range_seconds, step_seconds).filter(F.col("rate").isNotNull())
+    idle = select_metric(samples, metric, mode=mode)
+    rates = rate_on_grid(idle, range_seconds, step_seconds).filter(F.col("rate").isNotNull())
     return rates.groupBy(F.col("labels")[by].alias(by), "eval_ts").agg(
         (100 - F.avg("rate") * 100).alias("busy_pct")
     )

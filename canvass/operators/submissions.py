@@ -103,18 +103,22 @@ def answer_rows(surveys: DataFrame, questions: DataFrame, survey_type: str = "ja
     )
 
 
-def intake_problem(messages: DataFrame) -> DataFrame:
+def intake_problem(messages: DataFrame, texts_only: bool = False) -> DataFrame:
     """Add ``problem``: NULL for a complete message, else what it lacks.
 
     The relational tables refuse missing fields, and e-mail addresses over 255 characters.
+    The worker takes numbers for texts; the intake service, with ``texts_only``, refuses them.
     """
+    question, answer, email, message = (
+        F.when(F.array_contains("texts", name), F.col(name)) if texts_only else F.col(name)
+        for name in ("question", "answer", "email", "message"))
     is_survey = F.col("type") == "survey"
     is_contact = F.col("type") == "contact"
     return messages.withColumn(
         "problem",
-        F.when(is_survey & F.col("question").isNull(), "question missing")
-        .when(is_survey & F.col("answer").isNull(), "answer missing")
-        .when(is_contact & F.col("email").isNull(), "email missing")
-        .when(is_contact & F.col("message").isNull(), "message missing")
+        F.when(is_survey & question.isNull(), "question missing")
+        .when(is_survey & answer.isNull(), "answer missing")
+        .when(is_contact & email.isNull(), "email missing")
+        .when(is_contact & message.isNull(), "message missing")
         .when(is_contact & (F.length("email") > 255), "email too long"),
     )

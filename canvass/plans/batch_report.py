@@ -6,34 +6,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canvass.operators import reports
-from canvass.schemas import HOT_ANSWERS
 from canvass.sinks.connectors import Writer
 from canvass.sinks.ledger import recorded
 from canvass.sinks.tables import append, overwrite, write_partitioned
 from canvass.sources.surveys import landing_frame
 
-REPORTS = {
-    "daily_stats": reports.daily_stats,
-    "tech_trends": reports.tech_trends,
-    "correlations": reports.answer_correlations,
-    "hourly_report": reports.hourly_report,
-}
+REPORTS = ("daily_stats", "tech_trends", "correlations", "hourly_report")
 
 
 def land_surveys(surveys: DataFrame, path: str) -> DataFrame:
-    """Store submissions once in columns, partitioned by day, and read them back.
+    """Store submissions in columns by day, and read them all back.
 
-    From there each report scans the two to four columns it needs, instead of decoding
-    every document again.
+    Days that occur in ``surveys`` replace what was stored of them, other days stay.  Every
+    answer is kept, the hot ones also as columns, so each report scans the two to four columns it
+    needs, instead of decoding every document again.
     """
-    columns = ["surveyId", "userId", "sessionId", "submittedAt", *HOT_ANSWERS, "submitted_date"]
-    write_partitioned(landing_frame(surveys).select(*columns), path, ["submitted_date"], "overwrite")
+    write_partitioned(landing_frame(surveys), path, ["submitted_date"], "replace")
     return surveys.sparkSession.read.parquet(path)
 
 
-def write_reports(surveys: DataFrame, out: str) -> None:
-    for name, report in REPORTS.items():
-        overwrite(report(surveys), f"{out}/{name}")
+def write_reports(surveys: DataFrame, out: str, exact: bool = True) -> None:
+    """The four tables, from three passes over the submissions: cells, distinct people, trends.
+
+    ``exact=False`` sketches the distinct counts.
+    """
+    spark = surveys.sparkSession
+    passes = {
+        "cells": reports.cells(surveys), "distinct_people": reports.distinct_people(surveys, exact),
+        "tech_trends": reports.tech_trends(surveys),
+    }
+    for name, rows in passes.items():
+        overwrite(rows, f"{out}/{name}")
+    counted, people = (spark.read.parquet(f"{out}/{name}") for name in ("cells", "distinct_people"))
+    overwrite(reports.daily_from(counted, people), f"{out}/daily_stats")
+    overwrite(reports.hourly_from(counted, people), f"{out}/hourly_report")
+    overwrite(reports.correlations_from(counted), f"{out}/correlations")
 
 
 def stored_summary(spark: SparkSession, out: str) -> DataFrame:
@@ -46,7 +53,7 @@ def stored_summary(spark: SparkSession, out: str) -> DataFrame:
 
 
 def run_batch_report(surveys: DataFrame, out: str, land_to: str | None = None,
-                     copy: Writer | None = None) -> dict:
+                     copy: Writer | None = None, exact: bool = True) -> dict:
     """Write everything below ``out``; give ``land_to`` for sources that are not columnar.
 
     ``copy`` takes the stored tables to a further store, without computing them again.
@@ -55,17 +62,15 @@ def run_batch_report(surveys: DataFrame, out: str, land_to: str | None = None,
 
     def job() -> dict:
         source = land_surveys(surveys, land_to) if land_to else surveys
-        write_reports(source, out)
+        write_reports(source, out, exact)
         summary = stored_summary(spark, out)
         generated = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
         append(summary.select(generated.alias("generated_at"), "*"), f"{out}/survey_reports")
         if copy:
             for name in (*REPORTS, "survey_reports"):
                 copy(spark.read.parquet(f"{out}/{name}"), name)
-        span = source.agg(
-            F.min(F.col("submittedAt").cast("timestamp")).alias("start"),
-            F.max(F.col("submittedAt").cast("timestamp")).alias("end"),
-        ).first()
+        span = spark.read.parquet(f"{out}/cells").agg(
+            F.min("first_at").alias("start"), F.max("last_at").alias("end")).first()
         row = summary.first()
         return {
             "start": span["start"], "end": span["end"],

@@ -46,43 +46,6 @@ EVENT = StructType(SURVEY.fields + [
     StructField("data", MapType(StringType(), StringType())),
 ])
 
-# One row per answer.
-LONG_RESPONSE = StructType([
-    StructField("question", StringType()),
-    StructField("answer", StringType()),
-    StructField("created_at", TimestampType()),
-])
-
-PAGE_VISIT = StructType([
-    StructField("page", StringType()),
-    StructField("visited_at", TimestampType()),
-])
-
-CONTACT_MESSAGE = StructType([
-    StructField("email", StringType()),
-    StructField("message", StringType()),
-    StructField("created_at", TimestampType()),
-])
-
-LOG_ENTRY = StructType([
-    StructField("@timestamp", TimestampType()),
-    StructField("level", StringType()),
-    StructField("logger", StringType()),
-    StructField("message", StringType()),
-    StructField("surveyId", StringType()),
-    StructField("userId", StringType()),
-    StructField("sessionId", StringType()),
-    StructField("responseCount", IntegerType()),
-    StructField("source", StringType()),
-])
-
-METRIC_SAMPLE = StructType([
-    StructField("metric", StringType()),
-    StructField("labels", MapType(StringType(), StringType())),
-    StructField("ts", TimestampType()),
-    StructField("value", DoubleType()),
-])
-
 QUESTION = StructType([
     StructField("position", IntegerType()),
     StructField("id", StringType()),

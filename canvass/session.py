@@ -9,13 +9,16 @@ from pyspark.sql import SparkSession
 
 # Settings the jobs rely on.  Partition counts are left to the cluster; AQE
 # coalesces small partitions and splits skewed ones.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
-    "spark.sql.streaming.stateStore.providerClass":
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    **STATE,
 }
 
 
@@ -32,12 +35,15 @@ def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder for checkpoints and intermediate tables.
 
     It lies in the shared folder named by ``spark.checkpoint.dir``, so that every
-    executor can read it back after a loss.  Only where that is unset, as in local
-    tests, is a local temporary folder used.
+    executor can read it back after a loss.  Only where that is unset and the session is
+    local, as in tests, is a temporary folder of the machine used; a cluster without a
+    shared folder is refused.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="canvass-")
     return f"{base.rstrip('/')}/canvass-{uuid.uuid4().hex}/{name}"

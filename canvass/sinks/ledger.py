@@ -13,15 +13,19 @@ from canvass.schemas import ANALYSIS_RUN, RUN_STATUS
 from canvass.sinks.tables import append
 
 
+def _texts(values: dict | None) -> dict:
+    return {k: None if v is None else str(v) for k, v in (values or {}).items()}
+
+
 def run_entry(spark: SparkSession, analysis_type: str, status: str, *, start=None, end=None,
               results=None, metrics=None, parameters=None, job_id: str | None = None) -> DataFrame:
     if status not in RUN_STATUS:
         raise ValueError(f"unknown status {status!r}")
     row = (
         analysis_type, dt.datetime.now(dt.timezone.utc), start, end,
-        {k: str(v) for k, v in (results or {}).items()},
-        {k: float(v) for k, v in (metrics or {}).items()},
-        {k: str(v) for k, v in (parameters or {}).items()},
+        _texts(results),
+        {k: None if v is None else float(v) for k, v in (metrics or {}).items()},
+        _texts(parameters),
         job_id or uuid.uuid4().hex, spark.sparkContext.applicationId, status,
     )
     return spark.createDataFrame([row], ANALYSIS_RUN)
@@ -29,12 +33,13 @@ def run_entry(spark: SparkSession, analysis_type: str, status: str, *, start=Non
 
 def recorded(spark: SparkSession, ledger: str, analysis_type: str, job: Callable[[], dict],
              parameters: dict | None = None) -> dict:
-    """Run a job and append how it ended.
+    """Run a job, and append that it began and how it ended.
 
-    The job returns the keyword arguments of ``run_entry`` that describe its outcome.
+    A run whose driver was lost stays PROCESSING.  The job returns the keyword arguments of ``run_entry`` that describe its outcome.
     """
     job_id = uuid.uuid4().hex
     started = dt.datetime.now()
+    append(run_entry(spark, analysis_type, "PROCESSING", parameters=parameters, job_id=job_id), ledger)
     try:
         outcome = job()
     except Exception as error:
@@ -46,10 +51,16 @@ def recorded(spark: SparkSession, ledger: str, analysis_type: str, job: Callable
     return outcome
 
 
+def current_states(runs: DataFrame) -> DataFrame:
+    """The newest entry of each run."""
+    names = runs.columns
+    return runs.groupBy("sparkJobId").agg(F.max_by(F.struct(*names), "timestamp").alias("r")).select("r.*")
+
+
 def latest_runs(runs: DataFrame, analysis_type: str, count: int = 10) -> DataFrame:
-    """The newest runs of one kind."""
+    """The newest runs of one kind, each in its newest state."""
     return (
-        runs.filter(F.col("analysisType") == analysis_type)
+        current_states(runs).filter(F.col("analysisType") == analysis_type)
         .filter(F.col("status").isin(*RUN_STATUS))
         .orderBy(F.desc("timestamp"), "sparkJobId").limit(count)
     )

@@ -12,11 +12,15 @@ FIELDS = ", ".join(f"{name}: variant" for name in (
     "type", "question", "answer", "email", "message", "timestamp"))
 
 
+TEXTS = ("question", "answer", "email", "message")
+
+
 def decode_messages(lines: DataFrame) -> DataFrame:
     """Type, fields and forwardable payload of every message.
 
     Text that is no JSON becomes ``{"raw": text, "type": "unknown"}``.  JSON that is
-    not an object cannot be processed: it is kept with ``accepted`` false.
+    not an object cannot be processed: it is kept with ``accepted`` false.  ``texts`` names the
+    fields that were given as text, not as numbers.
     """
     value = F.col("value")
     is_object = F.col("item").isNotNull()
@@ -39,5 +43,8 @@ def decode_messages(lines: DataFrame) -> DataFrame:
                 F.to_json(F.struct(value.alias("raw"), F.lit("unknown").alias("type"))),
             ).otherwise(value).alias("payload"),
             (is_object | F.col("broken")).alias("accepted"),
+            F.array_compact(F.array(*[
+                F.when(string_only(F.col(f"item.{name}")).isNotNull(), F.lit(name)) for name in TEXTS
+            ])).alias("texts"),
         )
     )

@@ -11,14 +11,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from canvass.operators import logs, submissions, text_features
 from canvass.operators.submissions import intake_problem
-from canvass.sinks.messages import submission_messages
+from canvass.sinks.messages import Publisher, submission_messages
 from canvass.sinks.tables import write_batch
 from canvass.sources.queue import decode_messages
 from canvass.sources.surveys import dead_letters, decode_events, landing_frame, valid_events
 from canvass.streaming.queries import _trigger
 
-Publisher = Callable[[DataFrame, int], None]
-
 
 def _start(stream: DataFrame, name: str, write, checkpoints: str, interval: str | None) -> StreamingQuery:
     return (
@@ -34,50 +32,53 @@ def _keep(df: DataFrame) -> DataFrame:
 
 
 def start_event_intake(messages: DataFrame, out: str, checkpoints: str,
-                       interval: str | None = None) -> StreamingQuery:
+                       interval: str | None = None, write: Callable = write_batch) -> StreamingQuery:
     """Decode a topic once and write all its stateless outputs.
 
     Landed submissions, text features, audit documents, and the messages that could not
-    be read.  For streams to go on from, use ``queries.start_landing``.
+    be read.  For streams to go on from, use ``queries.start_landing``.  ``write`` stores a
+    table's batch, as ``queries.copying`` makes it for another store.
     """
 
-    def write(batch: DataFrame, batch_id: int) -> None:
+    def write_all(batch: DataFrame, batch_id: int) -> None:
         decoded = _keep(decode_events(batch))
         try:
             surveys = valid_events(decoded)
             write_batch(landing_frame(surveys), f"{out}/survey_responses", batch_id, ["submitted_date"])
-            write_batch(text_features.text_analysis(surveys), f"{out}/text_analysis", batch_id)
-            write_batch(logs.audit_events(surveys), f"{out}/spark_surveys", batch_id)
-            write_batch(dead_letters(decoded), f"{out}/dead_letters", batch_id)
+            write(text_features.text_analysis(surveys), f"{out}/text_analysis", batch_id)
+            write(logs.audit_events(surveys), f"{out}/spark_surveys", batch_id)
+            write(dead_letters(decoded), f"{out}/dead_letters", batch_id)
         finally:
             decoded.unpersist()
 
-    return _start(messages, "event_intake", write, checkpoints, interval)
+    return _start(messages, "event_intake", write_all, checkpoints, interval)
 
 
 def start_submissions(bodies: DataFrame, out: str, checkpoints: str, interval: str | None = None,
-                      publish: Publisher | None = None) -> StreamingQuery:
+                      publish: Publisher | None = None, write: Callable = write_batch) -> StreamingQuery:
     """Each submission to the store, to the topic and to the log.
 
-    ``publish`` sends messages on; by default they are stored as a table.
+    ``publish`` sends messages on; by default they are stored as a table.  The store keeps the
+    JSON type of each answer.  ``write`` stores a table's batch, as ``queries.copying`` makes
+    it for another store.
     """
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        decoded = _keep(submissions.decode_submissions(batch).drop("typed_answers"))
+    def write_all(batch: DataFrame, batch_id: int) -> None:
+        decoded = _keep(submissions.decode_submissions(batch))
         try:
             surveys = submissions.accepted_submissions(decoded)
-            write_batch(surveys, f"{out}/survey_responses", batch_id)
+            write(surveys, f"{out}/survey_responses", batch_id)
             messages = submission_messages(surveys)
             if publish:
                 publish(messages, batch_id)
             else:
-                write_batch(messages, f"{out}/survey_events", batch_id)
-            write_batch(logs.submission_log(surveys), f"{out}/logs", batch_id)
-            write_batch(submissions.refused_submissions(decoded), f"{out}/refused", batch_id)
+                write(messages, f"{out}/survey_events", batch_id)
+            write(logs.submission_log(surveys), f"{out}/logs", batch_id)
+            write(submissions.refused_submissions(decoded), f"{out}/refused", batch_id)
         finally:
             decoded.unpersist()
 
-    return _start(bodies, "submissions", write, checkpoints, interval)
+    return _start(bodies, "submissions", write_all, checkpoints, interval)
 
 
 def route(decoded: DataFrame) -> dict[str, DataFrame]:
@@ -100,21 +101,25 @@ def route(decoded: DataFrame) -> dict[str, DataFrame]:
 
 
 def start_router(lines: DataFrame, out: str, checkpoints: str, interval: str | None = None,
-                 publish: Publisher | None = None) -> StreamingQuery:
-    """Queue worker: store by type and forward."""
+                 publish: Publisher | None = None, write: Callable = write_batch) -> StreamingQuery:
+    """Queue worker: store by type and forward.
 
-    def write(batch: DataFrame, batch_id: int) -> None:
+    ``write`` stores a table's batch, as ``queries.copying(write_batch, to_tables(...))`` makes
+    it for a relational store.
+    """
+
+    def write_all(batch: DataFrame, batch_id: int) -> None:
         decoded = _keep(decode_messages(batch))
         try:
             for name, rows in route(decoded).items():
                 if name == "forwarded" and publish:
                     publish(rows, batch_id)
                 else:
-                    write_batch(rows, f"{out}/{name}", batch_id)
+                    write(rows, f"{out}/{name}", batch_id)
         finally:
             decoded.unpersist()
 
-    return _start(lines, "queue_router", write, checkpoints, interval)
+    return _start(lines, "queue_router", write_all, checkpoints, interval)
 
 
 def start_visits(hits: DataFrame, out: str, checkpoints: str, interval: str | None = None,

@@ -105,6 +105,8 @@ def test_json_values(spark, value, scalar, string):
 @pytest.mark.parametrize("rows,expected", [
     ([], None), ([(1, 2)], None), ([(1, 2), (1, 5), (1, 3)], None),
     ([(1, 2), (2, 4), (3, 6)], 1.0), ([(1, 3), (2, 2), (3, 1)], -1.0),
+    ([(1, 2), (2, 4), (3, 5), (9, None)], 0.98198), ([(1, 2), (2, 4), (3, 5), (None, 7), (None, None)], 0.98198),
+    ([(1, None), (None, 2)], None),
 ])
 def test_pearson(spark, rows, expected):
     value = spark.createDataFrame(rows, "x int, y int").agg(pearson("x", "y")).first()[0]

@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from canvass.operators import finders, kpi, logs, longform, popularity, ratings, relabel, reports, submissions
-from canvass.operators.joins import small_side
 from canvass.sources.catalogue import FALLBACK_SURVEY, SITE_SURVEY, TECHNOLOGY_SURVEY, catalogue
 from canvass.sources.logs import union_intake
 from canvass.sources.queue import decode_messages
@@ -173,12 +172,6 @@ def test_catalogues(spark):
     assert longform.answers_with_question(df, doubled).first()["question"].startswith("Czy")
 
 
-def test_broadcast_only_when_small(spark):
-    small, large = spark.range(10), spark.range(100)
-    assert "broadcast" in plan_of(small_side(small, 50)).lower()
-    assert "broadcast" not in plan_of(small_side(large, 50)).lower()
-
-
 @pytest.mark.parametrize("page_size", [1, 4, 1000])
 def test_nested_pages_hold_every_answer(spark, page_size):
     rows = [("hot", f"a{i}", i % 7) for i in range(50)] + [(None, "x", 1), ("cold", None, 2)]
@@ -186,14 +179,19 @@ def test_nested_pages_hold_every_answer(spark, page_size):
     pages = longform.answers_nested(counts, page_size).collect()
     back = [(p["question"], a["answer"], a["count"]) for p in pages for a in p["answers"]]
     assert Counter(back) == Counter(rows)
+    hot = sorted((r for r in rows if r[0] == "hot"), key=lambda r: (-r[2], r[1]))
     for p in pages:
+        here = [(p["question"], a["answer"], a["count"]) for a in p["answers"]]
+        if p["question"] == "hot":  # pages of the whole order
+            assert here == hot[p["page"] * page_size:(p["page"] + 1) * page_size]
         assert [a["count"] for a in p["answers"]] == sorted((a["count"] for a in p["answers"]), reverse=True)
     if page_size == 1000:
         assert len(pages) == 3 and all(p["page"] == 0 for p in pages)
 
 
 def test_blank_answers_are_left_out(spark):
-    df = spark.createDataFrame([("q", " a\n"), ("q", "  "), ("q", None)], "question string, answer string")
+    blanks = "\u00a0\u1680\u2003\u2028\u202f\u205f\u3000\ufeff\t\x0b"
+    df = spark.createDataFrame([("q", f"{blanks}a\n"), ("q", blanks), ("q", "  "), ("q", None)], "question string, answer string")
     assert [tuple(r) for r in longform.clean_answers(df).collect()] == [("q", "a")]
 
 
@@ -290,3 +288,12 @@ def test_grouped_answers_count(spark):
     assert longform.distinct_answer_pairs(counts).first()[0] == 3
     labels = {r["label"]: r["data"] for r in longform.chart_labels(counts).collect()}
     assert labels["q: a"] == 3 and isinstance(defaultdict(int, labels), dict)
+
+
+def test_intake_refuses_numbers_where_texts_are_asked_for(spark):
+    lines = spark.createDataFrame([('{"type":"survey","question":"q","answer":5}',), ('{"type":"survey","question":"q","answer":"5"}',),
+                                   ('{"type":"contact","email":1,"message":"m"}',)], "value string")
+    decoded = decode_messages(lines)
+    assert {r["problem"] for r in submissions.intake_problem(decoded).collect()} == {None}
+    strict = [r["problem"] for r in submissions.intake_problem(decoded, texts_only=True).collect()]
+    assert sorted(strict, key=str) == [None, "answer missing", "email missing"]

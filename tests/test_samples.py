@@ -78,8 +78,10 @@ def test_rate_on_grid(spark, step):
 
 
 def test_busy_percent(spark):
-    rows = [("cpu", {"instance": "a", "cpu": c, "mode": "idle"}, T0 + dt.timedelta(seconds=s), s * share)
+    rows = [(samples.CPU_SECONDS, {"instance": "a", "cpu": c, "mode": "idle"}, T0 + dt.timedelta(seconds=s), s * share)
             for c, share in (("0", 0.5), ("1", 0.9)) for s in (10, 40)]
+    rows += [(samples.CPU_SECONDS, {"instance": "a", "cpu": "0", "mode": "user"}, T0 + dt.timedelta(seconds=s), s * 3.0) for s in (10, 40)]
+    rows += [("load", {"instance": "a", "mode": "idle"}, T0 + dt.timedelta(seconds=s), s * 7.0) for s in (10, 40)]
     out = samples.busy_percent(frame(spark, rows)).orderBy("eval_ts").collect()
     assert len(out) == 5 and all(r["busy_pct"] == pytest.approx(30.0) for r in out)
 

@@ -17,15 +17,18 @@ from canvass.operators import (
     submissions,
     text_features,
 )
-from canvass.plans.batch_report import run_batch_report
+from canvass.functions.scales import DESCENDING, rating
+from canvass.functions.stats import pearson
+from canvass.plans.batch_report import land_surveys, run_batch_report, write_reports
 from canvass.session import work_dir
+from canvass.sinks.ledger import current_states
 from canvass.sinks.messages import submission_messages
 from canvass.sinks.tables import write_partitioned
 from canvass.sources.catalogue import TECHNOLOGY_SURVEY, catalogue
 from canvass.sources.logs import read_log_index, union_intake
 from canvass.sources.queue import decode_messages
 from workload import fixtures as fx
-from workload.catalog import day, joined, query, r6, stamp
+from workload.catalog import ORACLES, day, joined, query, r6, stamp
 
 S = f"s AS ({fx.sql(fx.SURVEY_COLUMNS)})"
 L = f"l AS ({fx.sql(fx.LONG_COLUMNS)})"
@@ -132,13 +135,69 @@ def report_summary(spark, sf_dir):
     return summary.withColumn("avg_correlation", r6("avg_correlation"))
 
 
+@query("pearson_with_gaps", f"""
+WITH {S}, x AS (SELECT CASE WHEN spring_performance IS NOT NULL THEN {DOWN.format('spring_performance')} END AS p,
+                       CASE WHEN integration_quality IS NOT NULL THEN {DOWN.format('integration_quality')} END AS i FROM s)
+SELECT round(corr(p, i), 6) AS correlation FROM x""")
+def pearson_with_gaps(spark, sf_dir):
+    """Missing answers are NULL here, not 0, and leave their row out."""
+    def score(c):
+        return F.when(F.col(c).isNotNull(), rating(F.col(c), DESCENDING)).alias(c)
+
+    scored = surveys(spark, sf_dir).select(score("spring_performance"), score("integration_quality"))
+    return scored.agg(r6(pearson("spring_performance", "integration_quality")).alias("correlation"))
+
+
+def stored_report(spark, sf_dir, name):
+    """A table of the batch job, read back from where it was stored."""
+    out = work_dir(spark, "batch_report")
+    write_reports(land_surveys(documents_of(spark, sf_dir), f"{out}/landed"), out)
+    return spark.read.parquet(f"{out}/{name}")
+
+
+@query("batch_report_daily", ORACLES["daily_stats"])
+def batch_report_daily(spark, sf_dir):
+    out = stored_report(spark, sf_dir, "daily_stats")
+    return out.withColumns({"date": day("date"), "avg_rating": r6("avg_rating")})
+
+
+@query("batch_report_hourly", ORACLES["hourly_report"])
+def batch_report_hourly(spark, sf_dir):
+    return stored_report(spark, sf_dir, "hourly_report").withColumn("avg_rating", r6("avg_rating"))
+
+
+@query("batch_report_trends", ORACLES["tech_trends"])
+def batch_report_trends(spark, sf_dir):
+    return stored_report(spark, sf_dir, "tech_trends").withColumn("date", day("date"))
+
+
+@query("batch_report_correlations", ORACLES["answer_correlations"])
+def batch_report_correlations(spark, sf_dir):
+    return _rounded(stored_report(spark, sf_dir, "correlations"))
+
+
+@query("landed_projection", f"""
+WITH {S}
+SELECT surveyId AS "surveyId", count(*) AS n, count(spring_performance) AS rated, count(java_tech_interest) AS chosen
+FROM s GROUP BY 1""")
+def landed_projection(spark, sf_dir):
+    """Landed submissions keep every answer, so all readers of documents can go on from them."""
+    out = work_dir(spark, "landed")
+    landed = land_surveys(documents_of(spark, sf_dir), out)
+    answers_of = finders.analytics_projection(landed.filter("surveyId IS NOT NULL").select("answers", "submittedAt", "surveyId"))
+    assert answers_of.columns == ["answers", "submittedAt"]
+    return landed.groupBy("surveyId").agg(
+        F.count("*").alias("n"), F.count(F.col("answers")["spring_performance"]).alias("rated"),
+        F.count(F.col("answers")["java_tech_interest"]).alias("chosen"))
+
+
 @query("batch_report_run", SUMMARY.replace("AS avg_correlation", """AS avg_correlation,
        'COMPLETED' AS status, strftime(max(submittedAt), '%Y-%m-%d %H:%M:%S.%f') AS data_end"""))
 def batch_report_run(spark, sf_dir):
     """The whole job on documents: landing, four tables, report, ledger."""
     out = work_dir(spark, "batch_report")
     run_batch_report(documents_of(spark, sf_dir), out, land_to=f"{out}/landed")
-    ledger = spark.read.parquet(f"{out}/spark_analytics")
+    ledger = current_states(spark.read.parquet(f"{out}/spark_analytics"))
     result = F.col("results")
     return ledger.select(
         result["total_days"].cast("bigint").alias("total_days"),
@@ -278,6 +337,27 @@ def tech_chart_series(spark, sf_dir):
     return series.withColumns({"labels": joined("labels"), "data": joined("data")})
 
 
+@query("tech_chart_paged", f"""
+WITH {S}, {JAVA_VOTES},
+r AS (SELECT *, (row_number() OVER (ORDER BY technology) - 1) // 3 AS page FROM g)
+SELECT 'technologies' AS chart, CAST(page AS INTEGER) AS page, string_agg(technology, ',' ORDER BY technology) AS labels,
+       string_agg(CAST(votes AS VARCHAR), ',' ORDER BY technology) AS data FROM r GROUP BY page""")
+def tech_chart_paged(spark, sf_dir):
+    series = kpi.chart_series(kpi.list_aware_votes(surveys(spark, sf_dir)), 3)
+    return series.withColumns({"labels": joined("labels"), "data": joined("data")})
+
+
+@query("kpi_overview_paged", f"""
+WITH {S}, {JAVA_VOTES},
+r AS (SELECT *, CAST((row_number() OVER (ORDER BY technology) - 1) // 3 AS INTEGER) AS page FROM g)
+SELECT page, CASE WHEN page = 0 THEN (SELECT count(*) FROM s) END AS "totalResponses",
+       string_agg(technology || '=' || CAST(votes AS VARCHAR), ';' ORDER BY technology) AS "techPopularity"
+FROM r GROUP BY page""")
+def kpi_overview_paged(spark, sf_dir):
+    record = kpi.overview(documents_of(spark, sf_dir), 3)
+    return record.select("page", "totalResponses", joined(F.map_entries("techPopularity"), ("key", "value")).alias("techPopularity"))
+
+
 @query("kpi_overview", f"""
 WITH {S}, {JAVA_VOTES},
 k AS (SELECT count(*) AS n, floor(avg(CASE WHEN spring_performance IS NOT NULL
@@ -322,6 +402,18 @@ def answers_nested(spark, sf_dir):
     return nested.withColumn("answers", joined("answers", ("answer", "count")))
 
 
+@query("answers_nested_paged", f"""
+WITH {L}, c AS (SELECT question, answer, count(*) AS n FROM l GROUP BY 1, 2),
+r AS (SELECT *, (row_number() OVER (PARTITION BY question ORDER BY n DESC, answer) - 1) // 3 AS page FROM c)
+SELECT question, CAST(page AS INTEGER) AS page,
+       string_agg(answer || '=' || CAST(n AS VARCHAR), ';' ORDER BY n DESC, answer) AS answers
+FROM r GROUP BY 1, 2""")
+def answers_nested_paged(spark, sf_dir):
+    """Three answers to a page, pages in the order of the whole list."""
+    nested = longform.answers_nested(longform.answer_counts(answers(spark, sf_dir)), 3)
+    return nested.withColumn("answers", joined("answers", ("answer", "count")))
+
+
 @query("visit_total", "SELECT count(*) AS total_visits FROM events WHERE event_type = 'view'")
 def visit_total(spark, sf_dir):
     return longform.visit_total(fx.page_visits(fx.table(spark, sf_dir, "events")))
@@ -607,17 +699,18 @@ def counter_rate_5h(spark, sf_dir):
 WITH {M},
 d AS (SELECT *, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER w AS prev,
              CASE WHEN value < lag(value) OVER w THEN value ELSE value - lag(value) OVER w END AS step
-      FROM m WINDOW w AS (PARTITION BY metric, instance ORDER BY ts)),
+      FROM m WHERE metric = 'view' WINDOW w AS (PARTITION BY instance ORDER BY ts)),
 t AS (SELECT d.*, g.k * 3600000000 AS eval FROM d, unnest(range((us + 3599999999) // 3600000000,
              (us + 18000000000 - 1) // 3600000000 + 1)) AS g(k)),
-r AS (SELECT metric, instance, eval, CASE WHEN max(us) > min(us) THEN
+r AS (SELECT instance, eval, CASE WHEN max(us) > min(us) THEN
              coalesce(sum(step) FILTER (prev > eval - 18000000000), 0) / ((max(us) - min(us)) / 1000000.0) END AS rate
-      FROM t GROUP BY 1, 2, 3)
+      FROM t GROUP BY 1, 2)
 SELECT instance, strftime(make_timestamp(eval), '%Y-%m-%d %H:%M:%S.%f') AS eval_ts,
        round(100 - avg(rate) * 100, 6) AS busy_pct
 FROM r WHERE rate IS NOT NULL GROUP BY 1, 2""")
 def cpu_busy_pct(spark, sf_dir):
-    busy = samples.busy_percent(fx.samples(fx.table(spark, sf_dir, "events")), "instance", 18000, 3600)
+    """Of several modes and metrics only idle processor seconds count."""
+    busy = samples.busy_percent(fx.cpu_samples(fx.table(spark, sf_dir, "events")), "instance", 18000, 3600)
     return busy.select("instance", stamp("eval_ts").alias("eval_ts"), r6("busy_pct").alias("busy_pct"))
 
 

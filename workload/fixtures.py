@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from canvass.operators import relabel as r
 from canvass.functions.once import compute_once
+from canvass.operators.samples import CPU_SECONDS
 from canvass.schemas import HOT_ANSWERS
+from canvass.session import work_dir
 
 
 def _rating(number: str, low: str, high: str, two: str) -> str:
@@ -92,10 +94,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table as a stream of its files."""
-    schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet*")
+#: Files that a stream of events comes in, and how late the late rows are.
+FILES, LATE = 4, "5 minutes"
+
+
+def event_table_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of several files in the order of time, one for each micro-batch.
+
+    Each seventh event of the last minutes of a file comes late, in the next one.
+    """
+    events = table(spark, sf_dir, "events")
+    folder = work_dir(spark, "event_files")
+    low, high = events.agg(F.unix_micros(F.min(F.col("ts").cast("timestamp"))), F.unix_micros(F.max(F.col("ts").cast("timestamp")))).first()
+    delay = F.when(F.col("event_id") % 7 == 0, F.expr(f"INTERVAL {LATE}")).otherwise(F.expr("INTERVAL 0 minutes"))
+    arrival = F.unix_micros((F.col("ts") + delay).cast("timestamp")) - low
+    number = F.least(F.floor(arrival * FILES / (high - low + 1)), F.lit(FILES - 1))
+    for k in range(FILES):
+        events.filter(number == k).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 def project(df: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -228,6 +244,17 @@ def samples(events: DataFrame) -> DataFrame:
     )
 
 
+def cpu_samples(events: DataFrame) -> DataFrame:
+    """Counters of processor seconds by mode, among samples of another metric."""
+    flat = project(events, SAMPLE_COLUMNS)
+    mode = F.when(F.col("metric") == "view", F.lit("idle")).when(F.col("metric") == "click", F.lit("user")).otherwise(F.lit("system"))
+    return flat.select(
+        F.when(F.col("metric") == "error", F.lit("node_load1")).otherwise(F.lit(CPU_SECONDS)).alias("metric"),
+        F.create_map(F.lit("instance"), F.col("instance"), F.lit("mode"), mode).alias("labels"),
+        F.col("ts").cast("timestamp").alias("ts"), "value",
+    )
+
+
 def log_entries(events: DataFrame) -> DataFrame:
     """Log entries; those of errors have a time that cannot be read, those of signups none."""
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")

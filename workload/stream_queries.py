@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canvass.operators import popularity
+from canvass.operators import kpi, popularity, submissions
 from canvass.session import work_dir
 from canvass.sinks.tables import latest_per_key, read_batches, read_snapshot
 from canvass.sources.surveys import decode_events, valid_events
@@ -25,8 +25,9 @@ from workload.batch_queries import (
     WINDOW_STATS,
     _window_rows,
     _windows,
+    surveys,
 )
-from workload.catalog import query, r6, stamp
+from workload.catalog import joined, query, stamp
 
 # messages keep times in milliseconds, and the submitting service's carry no session
 J = f"""e AS ({fx.sql({**fx.SURVEY_COLUMNS, 'event_type': 'event_type'})}),
@@ -36,7 +37,7 @@ s AS (SELECT * REPLACE (date_trunc('milliseconds', submittedAt) AS submittedAt,
 
 def event_stream(spark, sf_dir) -> DataFrame:
     """Decoded submissions of the event table as a stream of messages."""
-    return valid_events(decode_events(fx.event_messages(fx.stream_table(spark, sf_dir, "events"))))
+    return valid_events(decode_events(fx.event_messages(fx.event_table_stream(spark, sf_dir))))
 
 
 def finish(query) -> None:
@@ -73,7 +74,7 @@ def stream_landing(spark, sf_dir):
     """Landed by the file sink in columns and day folders."""
     out, checkpoints = folders(spark, "landing")
     finish(queries.start_landing(event_stream(spark, sf_dir), out, checkpoints))
-    landed = spark.read.parquet(f"{out}/survey_responses")
+    landed = spark.read.parquet(f"{out}/landed_surveys")
     day = F.date_format("submitted_date", "yyyy-MM-dd").alias("submitted_date")
     return landed.groupBy(day, "surveyId").agg(
         F.count("*").alias("submissions"),
@@ -127,16 +128,26 @@ def stream_tech_exact(spark, sf_dir):
 WITH {J}, {TREND_ROWS} SELECT technology_clean, count(*) AS total_votes FROM v GROUP BY 1""")
 def stream_tech_votes(spark, sf_dir):
     """The exact column of the complete-mode table."""
-    return stream_tech_approx(spark, sf_dir).drop("unique_sessions")
+    return _sketched(spark, sf_dir).drop("unique_sessions")
 
 
-@query("stream_tech_approx")
-def stream_tech_approx(spark, sf_dir):
+def _sketched(spark, sf_dir):
     out, checkpoints = folders(spark, "popularity")
     finish(queries.start_popularity(event_stream(spark, sf_dir), out, checkpoints))
     return read_snapshot(spark, f"{out}/tech_popularity")
 
 
+@query("stream_tech_approx", f"""
+WITH {J}, {TREND_ROWS} SELECT technology_clean, count(*) AS total_votes, true AS within_error FROM v GROUP BY 1""")
+def stream_tech_approx(spark, sf_dir):
+    """Sketched distinct counts beside exact ones; their stated deviation is 5 percent."""
+    exact = popularity.tech_popularity(surveys(spark, sf_dir).withColumn("submittedAt", F.date_trunc("millisecond", "submittedAt")))
+    exact = exact.select(F.col("technology_clean").alias("t"), F.col("unique_sessions").alias("exact"))
+    both = _sketched(spark, sf_dir).join(exact, F.col("technology_clean") == F.col("t"))
+    close = F.abs(F.col("unique_sessions") - F.col("exact")) <= 3 * 0.05 * F.col("exact")
+    return both.select("technology_clean", "total_votes", close.alias("within_error"))
+
+
 @query("stream_audit", f"""
 WITH {J}
 SELECT 'survey_event' AS type, surveyId AS "surveyId", userId AS "userId", sessionId AS "sessionId",
@@ -181,7 +192,7 @@ UNION ALL SELECT 'dead', NULL, NULL, count(*) FROM s WHERE event_type = 'signup'
 def stream_event_intake(spark, sf_dir):
     """One decoding pass; messages of signups cannot be read."""
     out, checkpoints = folders(spark, "intake")
-    messages = fx.event_messages(fx.stream_table(spark, sf_dir, "events"), planted=True)
+    messages = fx.event_messages(fx.event_table_stream(spark, sf_dir), planted=True)
     finish(intake.start_event_intake(messages, out, checkpoints))
     landed = read_batches(spark, f"{out}/survey_responses").groupBy(
         F.lit("landed").alias("output"), "surveyId",
@@ -199,7 +210,7 @@ SELECT unnest(CASE WHEN refused THEN ['refused'] ELSE ['survey_responses', 'surv
 def submission_fanout(spark, sf_dir):
     """Each accepted body to three outputs."""
     out, checkpoints = folders(spark, "submissions")
-    bodies = fx.request_bodies(fx.stream_table(spark, sf_dir, "events"))
+    bodies = fx.request_bodies(fx.event_table_stream(spark, sf_dir))
     finish(intake.start_submissions(bodies, out, checkpoints))
     parts = [
         read_batches(spark, f"{out}/{name}").select(F.lit(name).alias("output"))
@@ -228,7 +239,7 @@ UNION ALL SELECT 'forwarded', CASE kind WHEN 2 THEN '{{"raw":"oops","type":"unkn
 def queue_router(spark, sf_dir):
     """Queue lines by destination; forwarded messages with a time are counted by type."""
     out, checkpoints = folders(spark, "router")
-    lines = fx.queue_lines(fx.stream_table(spark, sf_dir, "events"))
+    lines = fx.queue_lines(fx.event_table_stream(spark, sf_dir))
     finish(intake.start_router(lines, out, checkpoints))
 
     def rows(name, a, b):
@@ -249,7 +260,7 @@ def queue_router(spark, sf_dir):
 @query("visit_intake", "SELECT 'home' AS page, count(*) AS visits FROM events WHERE event_type = 'view'")
 def visit_intake(spark, sf_dir):
     out, checkpoints = folders(spark, "visits")
-    hits = fx.stream_table(spark, sf_dir, "events").filter("event_type = 'view'")
+    hits = fx.event_table_stream(spark, sf_dir).filter("event_type = 'view'")
     finish(intake.start_visits(hits, out, checkpoints))
     return read_batches(spark, f"{out}/page_visits").groupBy("page").agg(F.count("visited_at").alias("visits"))
 
@@ -261,8 +272,37 @@ SELECT {INDEX_NAME} AS index_name, CASE WHEN NOT undated THEN strftime(ts, '%Y-%
 def stream_log_routing(spark, sf_dir):
     """Index folders; entries without a readable time lie under the day of arrival."""
     out, checkpoints = folders(spark, "log_routing")
-    entries = fx.log_entries(fx.stream_table(spark, sf_dir, "events")).drop("ingested_at")
+    entries = fx.log_entries(fx.event_table_stream(spark, sf_dir)).drop("ingested_at")
     finish(intake.start_log_routing(entries, out, checkpoints))
     stored = spark.read.parquet(f"{out}/log_index")
     dated = F.when(~F.col("event_type").isin("error", "signup"), F.date_format("index_date", "yyyy-MM-dd"))
     return stored.groupBy("index_name", dated.alias("index_date")).agg(F.count("*").alias("n"))
+
+
+TYPED = f"""b AS (SELECT *, {fx.BODY_KIND} AS kind FROM s
+WHERE coalesce(architecture_suggestions, '') NOT IN ('Super', 'problem z kolejką')),
+v AS (SELECT trim(unnest(CASE kind WHEN 1 THEN string_split(java_tech_interest, ',') WHEN 2 THEN []
+          ELSE string_split(rtrim(java_tech_interest, ','), ',') END)) AS technology
+      FROM b WHERE java_tech_interest IS NOT NULL),
+g AS (SELECT technology, count(*) AS votes FROM v GROUP BY 1)"""
+
+
+@query("kpi_from_stored", f"""
+WITH {S}, {TYPED}
+SELECT (SELECT count(*) FROM b) AS "totalResponses", (SELECT count(DISTINCT sessionId) FROM b) AS "uniqueUsers",
+       (SELECT string_agg(technology || '=' || CAST(votes AS VARCHAR), ';' ORDER BY technology) FROM g) AS "techPopularity",
+       true AS same_as_fresh""")
+def kpi_from_stored(spark, sf_dir):
+    """Key figures of stored bodies, whose answers keep their JSON types, beside the fresh ones."""
+    out, checkpoints = folders(spark, "typed")
+    finish(intake.start_submissions(fx.request_bodies(fx.event_table_stream(spark, sf_dir)), out, checkpoints))
+
+    def record(rows):
+        return kpi.overview(rows).select(
+            "totalResponses", "uniqueUsers", joined(F.map_entries("techPopularity"), ("key", "value")).alias("techPopularity"),
+            F.struct("avgRating", joined("ratingsChart.data").alias("ratings")).alias("rated"))
+
+    stored = record(read_batches(spark, f"{out}/survey_responses"))
+    fresh = record(submissions.normalise_submissions(fx.request_bodies(fx.table(spark, sf_dir, "events"))))
+    same = F.col("rated") == fresh.select("rated").scalar()
+    return stored.select("totalResponses", "uniqueUsers", "techPopularity", same.alias("same_as_fresh"))
