@@ -21,6 +21,7 @@ TECHNOLOGY_SURVEY = (
      None, "Podziel się swoimi pomysłami...", "feedback"),
 )
 
+# The questions of the site survey.
 SITE_SURVEY = (
     ("1", "Jak oceniasz design strony?", "rating",
      ["1 - Słabo", "2", "3", "4", "5 - Doskonale"], None, None),
@@ -33,7 +34,7 @@ SITE_SURVEY = (
     ("5", "Co sądzisz o portfolio?", "text", None, "Podziel się swoją opinią...", None),
 )
 
-# Served when the technology survey cannot be reached; its ids match no answer key.
+# Served when the technology survey cannot be reached; its ids match no answer key.
 FALLBACK_SURVEY = (
     ("1", "Jak oceniasz wydajność Spring Boot API?", "rating",
      ["1 - Słabo", "2", "3", "4", "5 - Doskonale"], None, None),

@@ -297,3 +297,21 @@ def test_intake_refuses_numbers_where_texts_are_asked_for(spark):
     assert {r["problem"] for r in submissions.intake_problem(decoded).collect()} == {None}
     strict = [r["problem"] for r in submissions.intake_problem(decoded, texts_only=True).collect()]
     assert sorted(strict, key=str) == [None, "answer missing", "email missing"]
+
+
+def test_result_tables_are_read_in_order(spark):
+    rows = [(f"s{i % 3}", f"u{i}", f"x{i}", answers_of(str(i % 5 + 1)), T0 + dt.timedelta(days=i % 4, hours=i % 5)) for i in range(40)]
+    df = survey_frame(spark, rows).withColumn("answers", F.map_concat(
+        F.map_filter("answers", lambda k, _: k != "java_tech_interest"), F.create_map(F.lit("java_tech_interest"), F.lit("a, b,a"))))
+
+    def read(report, *names):
+        return [tuple(r[n] for n in names) for r in reports.newest_first(report).collect()]
+
+    days = [r[0] for r in read(reports.daily_stats(df), "date")]
+    assert days == sorted(days, reverse=True) and len(days) == 4
+    hours = [r[0] for r in read(reports.hourly_report(df), "hour")]
+    assert hours == sorted(hours) and len(hours) == 5
+    trends = read(reports.tech_trends(df), "date", "daily_votes", "technology_clean")
+    assert trends == sorted(trends, key=lambda r: (-r[0].toordinal(), -r[1], r[2])) and len(trends) == 8
+    votes = read(popularity.tech_popularity(df), "total_votes", "technology_clean")
+    assert votes == [(80, "a"), (40, "b")]

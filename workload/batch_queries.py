@@ -24,7 +24,7 @@ from canvass.session import work_dir
 from canvass.sinks.ledger import current_states
 from canvass.sinks.messages import submission_messages
 from canvass.sinks.tables import write_partitioned
-from canvass.sources.catalogue import TECHNOLOGY_SURVEY, catalogue
+from canvass.sources.catalogue import FALLBACK_SURVEY, SITE_SURVEY, TECHNOLOGY_SURVEY, catalogue
 from canvass.sources.logs import read_log_index, union_intake
 from canvass.sources.queue import decode_messages
 from workload import fixtures as fx
@@ -468,6 +468,33 @@ def answers_with_question(spark, sf_dir):
     return longform.answers_with_question(keyed, catalogue(spark))
 
 
+def _values(questions) -> str:
+    return ", ".join("('" + "', '".join(q[:2]) + "')" for q in questions)
+
+
+def _lookup_sql(questions) -> str:
+    return f"""
+WITH q(id, text) AS (VALUES {_values(questions)}), a AS (SELECT event_type AS answer, event_id % 7 AS k FROM events)
+SELECT coalesce(text, '') AS question, answer, count(*) AS n FROM a LEFT JOIN q ON q.id = CAST(k AS VARCHAR) GROUP BY 1, 2"""
+
+
+def _lookup(spark, sf_dir, questions):
+    """Answers by number of the question, two of seven unknown."""
+    keyed = fx.table(spark, sf_dir, "events").select(F.col("event_type").alias("answer"), (F.col("event_id") % 7).alias("questionId"))
+    found = longform.answers_with_question(keyed, catalogue(spark, questions))
+    return found.groupBy("question", "answer").agg(F.count("*").alias("n"))
+
+
+@query("site_question_lookup", _lookup_sql(SITE_SURVEY))
+def site_question_lookup(spark, sf_dir):
+    return _lookup(spark, sf_dir, SITE_SURVEY)
+
+
+@query("fallback_question_lookup", _lookup_sql(FALLBACK_SURVEY))
+def fallback_question_lookup(spark, sf_dir):
+    return _lookup(spark, sf_dir, FALLBACK_SURVEY)
+
+
 # --- lookups ---------------------------------------------------------------------------
 
 @query("responses_by_survey", f"""
