@@ -30,8 +30,8 @@ SPLIT = regex.compile(
 BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A space beside another blank: only there does a cut before each space part a piece.
 RUN = re.compile(f" [{BLANK}]|[{BLANK}] ")
-#: Pieces and pairs remembered by a worker; when full they are forgotten and found anew.
-PIECES, PAIRS, LONGEST = 300_000, 1_000_000, 64
+#: Pieces and pairs remembered by a task; when full they are forgotten and found anew.
+PIECES, PAIRS, LONGEST = 100_000, 200_000, 64
 
 
 def letters_of_bytes() -> dict[str, int]:
@@ -83,6 +83,10 @@ class Vocabulary:
         self.automaton.make_automaton()
         self.pieces, self.words = Remembered(self._piece), Remembered(self._word)
 
+    def forget(self) -> None:
+        for memory in (self.after, self.pieces, self.words):
+            memory.clear()
+
     def joins(self, left: int, right: int) -> bool:
         """Whether ``right`` can follow ``left``: no merge joins parts of both before they are made."""
         if len(self.after) >= PAIRS:
@@ -203,6 +207,7 @@ def coded(name: str):
             texts = [vocabulary.decode(i).decode("utf-8", "replace") for i in ids]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(texts, pa.string())], schema=fields)
+        vocabulary.forget()  # the worker lives on for tasks of other kinds
 
     return run
 
