@@ -20,8 +20,8 @@ from canvass.llm.shared import by_text, prepare
 
 ORDERS, BITS = (3, 4, 5), 18
 #: Labelled rows that are learnt from, and buckets that are kept.
-SAMPLE, FEATURES = 20_000, 1 << 13
-SMOOTH, DECAY, ROUNDS, THRESHOLD = 1.0, 2e-5, 300, 0.7
+SAMPLE, FEATURES = 8_000, 1 << 11
+SMOOTH, DECAY, ROUNDS, THRESHOLD = 1.0, 2e-5, 150, 0.7
 
 COUNTS = pa.schema([("bucket", pa.int32()), ("toxic", pa.int64()), ("other", pa.int64())])
 PRESENT = pa.schema([("label", pa.int32()), ("buckets", pa.list_(pa.int32()))])
