@@ -19,7 +19,7 @@ from canvass.llm.ngrams import columns
 from canvass.llm.shared import by_text, prepare
 
 #: Edits allowed for each character of an item, and characters of items sent to tasks at once.
-RATE, BLOCK = 0.05, 8 << 20
+RATE, BLOCK = 0.08, 8 << 20
 HITS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()),
                   ("first", pa.int64()), ("last", pa.int64())])
 HITS_SQL = "doc_id long, item_id long, distance int, first long, last long"
