@@ -14,7 +14,6 @@ from workload import fixtures as fx
 from workload.batch_queries import (
     ANSWERS_JSON,
     HIST,
-    LOG_TIME,
     LOGS,
     INDEX_NAME,
     QUEUE,
