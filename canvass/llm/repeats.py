@@ -6,7 +6,8 @@ Sparse prefix doubling, with one sort for each round:
    they elect, one for about 17 bytes.  Spark sorts (name of the piece, name of the whole
    segment, document, place).  Within a name the sort shows which segments repeat an earlier
    one, and which pieces are unique: those are settled.  Different segments around an equal
-   piece are unclear, but only if the longer names left or right of the piece agree too.
+   piece are unclear, but only if the longer names left or right of the piece agree too,
+   and then only their windows on that side.
 2. The windows of unclear segments get names of their full length, the pair of two overlapping
    names, and are sorted once more.
 
@@ -27,10 +28,13 @@ from pyspark.sql import functions as F
 from canvass.llm.shared import prepare, stored
 from canvass.llm.windows import LEFT, RIGHT, U, mix, names, segments
 
-SPAN_BITS, TAG_BITS = 6, 22
+#: Fields of a row's place, from the right: windows after the first one, the elected piece's distance
+#: from the first, the tag; what is left above them is the first window's start.
+SPAN_BITS, AT_BITS, TAG_BITS = 6, 6, 20
 SETTLED = (1 << SPAN_BITS) - 1
+AT, TAG, FIRST = SPAN_BITS, SPAN_BITS + AT_BITS, SPAN_BITS + AT_BITS + TAG_BITS
 #: Bytes of text named at once, segments settled at once in a task, rows compared at once.
-BLOCK, FLUSH, LOT = 1 << 22, 1 << 20, 1 << 16
+BLOCK, FLUSH, LOT = 1 << 20, 1 << 20, 1 << 16
 COVERED, UNCLEAR, WIDE = 0, 1, 2
 
 
@@ -97,13 +101,13 @@ def settle(doc, first, content, within) -> np.ndarray:
     return ~opens if within else doc > doc[head]
 
 
-def ship(doc, tag, first, last, key, content, within) -> Iterator[pa.RecordBatch]:
+def ship(doc, tag, first, last, at, key, content, within) -> Iterator[pa.RecordBatch]:
     """Rows of one flush: segments still open, and merged runs of those settled here."""
     order = np.lexsort((first, doc, content))
     done = np.zeros(len(order), bool)
     done[order] = settle(doc[order], first[order], content[order], within)
     open_ = ~done
-    place = first << (SPAN_BITS + TAG_BITS) | tag << SPAN_BITS
+    place = first << FIRST | tag << TAG | (at - first) << AT
     yield pa.RecordBatch.from_arrays([pa.array(x[open_].view(np.int64)) for x in (
         key, content, doc, place | (last - first))], schema=ROWS)
     if done.any():
@@ -114,7 +118,7 @@ def ship(doc, tag, first, last, key, content, within) -> Iterator[pa.RecordBatch
         closes = np.append(opens[1:], len(order)) - 1
         spread = names(d[opens].view(U), [1])[0]
         yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (
-            spread, e[closes] - f[opens], d[opens], place[order][opens] | SETTLED)], schema=ROWS)
+            spread, e[closes] - f[opens], d[opens], f[opens] << FIRST | t[opens] << TAG | SETTLED)], schema=ROWS)
 
 
 def blocks(batches, rule: Rule):
@@ -153,7 +157,7 @@ def segment_rows(rule: Rule):
             for ids, tags, _, tokens, lengths in blocks(batches, rule):
                 s = segments(tokens, lengths, rule.width, rule.piece)
                 key = s.anchor >> U(16) << U(16) | s.prints
-                yield ids[s.owner], tags[s.owner], s.first, s.last, key, s.content
+                yield ids[s.owner], tags[s.owner], s.first, s.last, s.place, key, s.content
 
         yield from flushed(parts(), rule.within)
 
@@ -182,7 +186,7 @@ def window_rows(rule: Rule):
                     good = inside <= np.repeat(n, n)[:len(full)] - rule.width
                     start = (inside + np.repeat(f, n)[:len(full)])[good]
                     name, o = full[good], np.repeat(o, n)[:len(full)][good]
-                    yield ids[o], tags[o], start, start, name >> U(16) << U(16), name
+                    yield ids[o], tags[o], start, start, start, name >> U(16) << U(16), name
 
         yield from flushed(parts(), rule.within)
 
@@ -203,13 +207,15 @@ def lots(batches):
 
 def compared(rule: Rule):
     """The sorting task: settle equal segments, tell unclear ones."""
+    half = (rule.width - rule.piece + 1) // 2
 
     def group(rows: np.ndarray, give_up: bool):
         key, content, doc, place = rows
         span = place & SETTLED
         sent = span == SETTLED
-        first = place >> (SPAN_BITS + TAG_BITS)
-        tag = (place >> SPAN_BITS & ((1 << TAG_BITS) - 1)).astype(np.int32)
+        first = place >> FIRST
+        tag = (place >> TAG & ((1 << TAG_BITS) - 1)).astype(np.int32)
+        last = first + np.where(sent, content, span)
         anchor = key >> 16
         # settled runs travel with random keys and must not look like contents
         opens = np.ones(len(key), bool)
@@ -225,16 +231,20 @@ def compared(rule: Rule):
             new[1:] = anchor[rep][1:] != anchor[rep][:-1]
             g = np.cumsum(new) - 1
             several = np.flatnonzero(np.bincount(g, minlength=len(new))[g] > 1)
-            doubt = np.zeros(len(key), bool)
-            for shift in (0, 8):
+            right, left = np.zeros((2, len(key)), bool)
+            for side, shift in ((right, 0), (left, 8)):
                 mark = key[rep[several]] >> shift & 255
                 pair = g[several] << 8 | mark
                 _, back, many = np.unique(pair, return_inverse=True, return_counts=True)
-                doubt[rep[several[(mark > 0) & (many[back] > 1)]]] = True
-            unclear = doubt[head] & ~covered
+                side[rep[several[(mark > 0) & (many[back] > 1)]]] = True
+            right, left = right[head], left[head]
+            unclear = (right | left) & ~covered
+            # with one side only, windows that reach far to the other one cannot be shared
+            elected = first + (place >> AT & ((1 << AT_BITS) - 1))
+            last = np.where(unclear & ~right, np.minimum(last, elected - half), last)
+            first = np.where(unclear & ~left, np.maximum(first, elected - (rule.width - rule.piece - half)), first)
         keep = covered | unclear
         state = np.where(covered, COVERED, WIDE if give_up else UNCLEAR).astype(np.int8)
-        last = first + np.where(sent, content, span)
         return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (doc, tag, state, anchor, first, last)], schema=FOUND)
 
     def run(batches):

@@ -66,6 +66,7 @@ class Segments:
     owner: np.ndarray      # index of the sequence
     first: np.ndarray      # start of the first window, within the sequence
     last: np.ndarray       # start of the last window
+    place: np.ndarray      # start of the elected piece, within the sequence
     anchor: np.ndarray     # name of the elected piece
     content: np.ndarray    # name of everything that the windows of the run cover
     prints: np.ndarray     # 8 bits of what stands left of the piece, 8 bits of what stands right
@@ -97,8 +98,8 @@ def segments(tokens: np.ndarray, lengths: np.ndarray, width: int, piece: int) ->
         i = j
     if not out:
         empty = np.zeros(0, np.int64)
-        return Segments(empty, empty, empty, *np.zeros((3, 0), U))
-    return Segments(*(np.concatenate([x[k] for x in out]) for k in range(6)))
+        return Segments(empty, empty, empty, empty, *np.zeros((3, 0), U))
+    return Segments(*(np.concatenate([x[k] for x in out]) for k in range(7)))
 
 
 def _chunk(tokens, begin, owner, start, size, width, piece):
@@ -126,4 +127,4 @@ def _chunk(tokens, begin, owner, start, size, width, piece):
     left[chosen - first < half] = 0
     right = side[np.minimum(chosen, len(side) - 1)] % U(255) + U(1)
     right[last + width - piece - chosen < half] = 0
-    return owner[which], first + shift, last + shift, short[chosen], mix(content), left << U(8) | right
+    return owner[which], first + shift, last + shift, chosen + shift, short[chosen], mix(content), left << U(8) | right
