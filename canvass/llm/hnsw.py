@@ -54,11 +54,11 @@ def linked(vectors: np.ndarray, most: int) -> np.ndarray:
         return np.full((n, 1), -1, np.int32)
     half = max(1, most // 2)
     chosen = np.full((n, half), -1, np.int32)
-    for a in range(0, n, 1024):
-        rows = np.arange(a, min(n, a + 1024))
+    for a in range(0, n, 256):
+        rows = np.arange(a, min(n, a + 256))
         near = vectors[rows] @ vectors.T
         near[np.arange(len(rows)), rows] = -2
-        top = np.argpartition(-near, many - 1, axis=1)[:, :many]
+        top = largest(near, many)
         top = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1)
         chosen[rows] = diverse(vectors, top, np.take_along_axis(near, top, 1), half)
     # links back, where the other node has room
@@ -75,6 +75,23 @@ def linked(vectors: np.ndarray, most: int) -> np.ndarray:
     return links
 
 
+def largest(values: np.ndarray, many: int, size: int = 32) -> np.ndarray:
+    """Columns of the ``many`` largest values of each row, in any order.
+
+    They lie in the ``many`` blocks of columns with the largest maxima.
+    """
+    rows, n = values.shape
+    cut = n - n % size
+    if cut // size <= many:
+        return np.argpartition(-values, many - 1, axis=1)[:, :many]
+    best = values[:, :cut].reshape(rows, -1, size).max(axis=2)
+    blocks = np.argpartition(-best, many - 1, axis=1)[:, :many]
+    columns = (blocks[:, :, None] * size + np.arange(size)).reshape(rows, -1)
+    columns = np.concatenate([columns, np.broadcast_to(np.arange(cut, n), (rows, n - cut))], axis=1)
+    chosen = np.take_along_axis(values, columns, 1)
+    return np.take_along_axis(columns, np.argpartition(-chosen, many - 1, axis=1)[:, :many], 1)
+
+
 def diverse(vectors: np.ndarray, top: np.ndarray, near: np.ndarray, most: int) -> np.ndarray:
     rows, many = top.shape
     out = np.full((rows, most), -1, np.int32)

@@ -24,8 +24,8 @@ from canvass.llm.shared import prepare, stored
 from canvass.session import work_dir
 
 COSINE = 0.9
-SHARD, QUERIES, BEAM, WIDEST = 1 << 14, 1 << 13, 64, 256
-AUDITED, RECALL = 16, 0.99
+SHARD, QUERIES, BEAM, WIDEST = 1 << 16, 1 << 13, 32, 256
+AUDITED, RECALL = 16, 1.0
 MARGIN = 1e-5  # of single precision, in the search
 GRAPH = pa.schema([("shard", pa.int32()), ("cls", pa.binary()), ("copies", pa.binary()), ("vectors", pa.binary()),
                    ("nodes", pa.list_(pa.binary())), ("links", pa.list_(pa.binary()))])
