@@ -24,7 +24,7 @@ from canvass.llm.repeats import (
 )
 from canvass.llm.shared import stored
 
-WIDTH, PIECE, SHARD = 20, 6, 1 << 12
+WIDTH, PIECE, SHARD = 20, 6, 1 << 9
 RULE = Rule(word_tokens, WIDTH, PIECE, within=True, group=SHARD)
 SEGMENT = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("tag", pa.int32()), ("first", pa.int64()),
                      ("words", pa.list_(pa.int64()))])
