@@ -8,7 +8,7 @@ import pytest
 from canvass.llm import near_dedup as near
 from canvass.llm.components import components
 from canvass.llm.darts import signatures
-from canvass.llm.hnsw import Hnsw
+from canvass.llm.hnsw import Hnsw, largest
 from canvass.llm.near_vectors import near_vectors
 
 
@@ -160,3 +160,11 @@ def test_graph_search_finds_the_nearest(many):
     best = (queries @ points.T).argmax(axis=1)
     assert (found[:, 0] == best).mean() >= 0.95
     assert all(len(set(row[row >= 0])) == (row >= 0).sum() for row in found)
+
+
+@pytest.mark.parametrize("columns", [3, 40, 1600, 5003])
+def test_largest_by_blocks(columns):
+    values = np.random.default_rng(columns).normal(size=(7, columns))
+    many = min(48, columns - 1)
+    found = np.take_along_axis(values, largest(values, many), 1)
+    assert (np.sort(found, axis=1) == np.sort(values, axis=1)[:, -many:]).all()

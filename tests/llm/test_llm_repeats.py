@@ -64,7 +64,7 @@ def test_bytes_that_start_in_earlier_documents_go(spark, seed):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == wanted
 
 
-@pytest.mark.parametrize("group", [4096, 1])
+@pytest.mark.parametrize("group", [512, 1])
 def test_passages_that_start_earlier_go(spark, group):
     """With shards, and with all shards too large."""
     rows = [r for r in documents(3) if r != (2, documents(3)[-1][1])]
