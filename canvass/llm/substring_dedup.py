@@ -7,7 +7,8 @@ would cost documents times shards.  In a shard the segments come in the order of
 documents; each is matched against the automaton of those before it, and windows of which the
 matching statistic reaches the width are covered.  Segments equal as a whole, and pieces that
 are unique or whose longer neighbourhoods differ, are settled by the sort before.  A shard
-beyond ``SHARD`` segments is settled by window names, which spread over all tasks.
+of more than ``SHARD`` segments that reaches beyond the rows compared at once is settled by
+window names, which spread over all tasks.
 """
 
 from __future__ import annotations
