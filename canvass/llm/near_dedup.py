@@ -8,7 +8,9 @@
    parts meet again, so no task holds more than a part.
 3. Proposed links are verified on the shingles themselves: first the best one of each class,
    then all others that would connect what is not connected yet.
-4. Verified links are joined to components.
+4. In buckets of more than ``HUBS`` members, all pairs that are still unconnected are compared by
+   signature, in pairs of blocks, then by a longer one; likely ones are verified too.
+5. Verified links are joined to components.
 """
 
 from __future__ import annotations
@@ -30,11 +32,15 @@ BANDS, ROWS = 30, 5
 HUBS, CHUNK, PROPOSED = 32, 1 << 12, 4
 #: How far the similarity of two signatures may lie below the wanted one: four deviations.
 SLACK = 0.14
+#: Coordinates of the longer signature, its slack, and members of a block and of a tile of it.
+LONG, LONG_SLACK, BLOCK, TILE = 1 << 10, 0.0625, 1 << 11, 1 << 9
 SIGNED = pa.schema([("doc_id", pa.int64()), ("c0", pa.int64()), ("c1", pa.int64()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
 SIGNED_SQL = "doc_id long, c0 long, c1 long, sig binary, bands array<long>"
 SAME = ["doc_id", "c0", "c1"]
 EDGE = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("likeness", pa.float32())])
 EDGE_SQL = "key long, a long, b long, likeness float"
+LONGER = pa.schema([("node", pa.int64()), ("longer", pa.binary())])
+PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 WORDS = Rule(word_tokens, 1, 1, within=False)
 
 
@@ -148,6 +154,114 @@ def proposals(members: DataFrame, least: float) -> DataFrame:
     return links.groupBy(*pair).agg(F.max("likeness").alias("likeness"))
 
 
+def longer_signed(size: int):
+    def run(batches):
+        for ids, _, _, words, lengths in blocks(batches, WORDS):
+            edges = np.append(0, np.cumsum(lengths))
+            for i in range(0, len(ids), 64):  # a signature takes about 9000 darts
+                some = lengths[i:i + 64]
+                found, owner = shingles(words[edges[i]:edges[i + len(some)]], some, size)
+                low = (signatures(found, owner, len(some), LONG) & U(255)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:i + 64]), pa.array([row.tobytes() for row in low], pa.binary())], schema=LONGER)
+
+    return run
+
+
+def likely(same: np.ndarray) -> np.ndarray:
+    """Similarity from the share of equal bytes."""
+    return (same - 1 / 256) / (1 - 1 / 256)
+
+
+def unconnected(key: int, side, node, root, sig, longer, bands, least: float):
+    """Likely pairs (a, b) of different roots, of sides 0 and 1, or within side 0 if it is alone.
+
+    A pair is looked at only in the first bucket that both are in.
+    """
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    alone = not len(right)
+    right = left if alone else right
+    turned = np.ascontiguousarray(sig.T)
+    enough = (1 - 1 / 256) * (least - SLACK) * len(turned) + len(turned) / 256
+    for i in range(0, len(left), TILE):
+        for j in range(i if alone else 0, len(right), TILE):
+            p, q = left[i:i + TILE], right[j:j + TILE]
+            apart = root[p][:, None] != root[q]
+            if alone and i == j:
+                apart = np.triu(apart, 1)
+            if not apart.any():
+                continue
+            alike = np.zeros(apart.shape, np.uint8)
+            for x, y in zip(turned[:, p], turned[:, q], strict=True):
+                alike += x[:, None] == y
+            a, b = np.nonzero(apart & (alike >= enough))
+            for k in range(0, len(a), 1 << 13):
+                x, y = p[a[k:k + (1 << 13)]], q[b[k:k + (1 << 13)]]
+                here = bands[x, (bands[x] == bands[y]).argmax(axis=1)] == key
+                x, y = x[here], y[here]
+                good = likely((longer[x] == longer[y]).mean(axis=1)) >= least - LONG_SLACK
+                x, y = node[x[good]], node[y[good]]
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=PAIR)
+
+
+def met_blocks(least: float):
+    """Compares the two blocks of each part, which come together in sorted rows."""
+
+    def compared(key: int, held: list[pa.RecordBatch]):
+        rows = pa.Table.from_batches(held).combine_chunks()
+        sig, longer = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint8).reshape(len(rows), -1) for c in ("sig", "longer"))
+        bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(rows), -1)
+        yield from unconnected(key, *(rows.column(c).to_numpy() for c in ("side", "node", "root")), sig, longer, bands, least)
+
+    def run(batches):
+        part, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            parts = batch.column("part").flatten().to_numpy().reshape(batch.num_rows, -1)
+            edges = [0, *(np.flatnonzero((parts[1:] != parts[:-1]).any(axis=1)) + 1), batch.num_rows]
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                if held and tuple(parts[i]) != part:
+                    yield from compared(part[0], held)
+                    held = []
+                part = tuple(parts[i])
+                held.append(batch.slice(i, j - i))
+        if held:
+            yield from compared(part[0], held)
+
+    return run
+
+
+def crowded(classes: DataFrame, docs: DataFrame, roots: DataFrame, size: int, least: float) -> DataFrame | None:
+    """(a, b) of likely pairs that share a bucket of more than ``HUBS`` and are not connected by ``roots``.
+
+    Members of a bucket's largest component need not meet each other.  They and the others are
+    dealt into blocks, and the others' blocks meet all blocks.
+    """
+    rows = classes.select("node", F.explode("bands").alias("key"))
+    large = rows.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > HUBS).withColumnRenamed("key", "k")
+    placed = rows.join(large, F.col("key") == F.col("k")).join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
+    placed = stored(placed.select("key", "node", "size", F.coalesce("root", "node").alias("root")), "crowds")
+    groups = placed.groupBy("key", "root").agg(F.count("*").alias("many"), F.max("size").alias("size"))
+    mixed = groups.groupBy("key").agg(F.max(F.struct("many", "root")).alias("core"), F.max("size").alias("all")).filter("all > core.many")
+    mixed = stored(mixed.select(F.col("key").alias("k"), F.col("core.root").alias("core"), F.ceil(F.col("core.many") / BLOCK).cast("long").alias("cores"),
+                                F.ceil((F.col("all") - F.col("core.many")) / BLOCK).cast("long").alias("others")), "mixed")
+    if not mixed.limit(1).count():
+        return None
+    dealt = placed.join(mixed, F.col("key") == F.col("k")).withColumn("is_core", F.expr("root = core"))
+    dealt = dealt.withColumn("own", F.expr("pmod(xxhash64(node, key), if(is_core, cores, others))"))
+    meets = F.expr("""if(is_core,
+        transform(sequence(0L, others - 1), i -> struct(array(key, 1L, i, own) as part, 1 as side)),
+        concat(transform(sequence(0L, others - 1), i -> struct(array(key, 0L, least(i, own), greatest(i, own)) as part, int(own > i) as side)),
+               transform(sequence(0L, cores - 1), i -> struct(array(key, 1L, own, i) as part, 0 as side))))""")
+    dealt = stored(dealt.select("node", "root", F.explode(meets).alias("m")).select("node", "root", "m.part", "m.side"), "dealt")
+    named = texts_of(classes, docs, dealt.select("node").distinct()).select("node", F.lit(0).alias("tag"), "text")
+    longer = stored(named.mapInArrow(longer_signed(size), "node long, longer binary"), "longer")
+    full = dealt.join(longer.join(classes.select("node", "sig", "bands"), "node"), "node")
+    met = full.repartition("part").sortWithinPartitions("part").mapInArrow(met_blocks(least), "a long, b long")
+    return stored(met, "unconnected")
+
+
 def jaccards(size: int):
     fields = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
 
@@ -186,12 +300,17 @@ def sources(docs: DataFrame) -> DataFrame:
     return rows.select("*", *(F.xxhash64(F.lit(k), "text").alias(f"c{k}") for k in range(2)))
 
 
+def texts_of(classes: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of some classes."""
+    firsts = classes.join(nodes, "node").select("node", *SAME)
+    return docs.select(*SAME, "text").join(firsts, SAME).select("node", "text").dropDuplicates(["node"])
+
+
 def connected(classes: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
     """(node, root) of the classes that have a verified link."""
     links = stored(proposals(classes.select("node", "sig", "bands"), least - SLACK), "links")
     linked = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    firsts = classes.join(linked, "node").select("node", *SAME)
-    texts = stored(docs.select(*SAME, "text").join(firsts, SAME).select("node", "text").dropDuplicates(["node"]), "texts")
+    texts = stored(texts_of(classes, docs, linked), "texts")
     sides = links.select("a", "b", "likeness", F.explode(F.array("a", "b")).alias("node"))
     best = sides.groupBy("node").agg(F.max(F.struct("likeness", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
     sure = verified(best, texts, size, least).select("a", "b")
@@ -201,7 +320,14 @@ def connected(classes: DataFrame, docs: DataFrame, size: int, least: float) -> D
         root = roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
         rest = rest.join(root, side, "left")
     rest = rest.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-    return components(sure.unionByName(verified(rest, texts, size, least).select("a", "b")))
+    sure = sure.unionByName(verified(rest, texts, size, least).select("a", "b"))
+    roots = components(sure)
+    more = crowded(classes, docs, roots, size, least)
+    if more is None:
+        return roots
+    more = stored(more.join(links, ["a", "b"], "left_anti"), "more")
+    texts = stored(texts_of(classes, docs, more.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "texts")
+    return components(sure.unionByName(verified(more, texts, size, least).select("a", "b")))
 
 
 def classified(docs: DataFrame, size: int, least: float) -> DataFrame:
@@ -230,8 +356,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, least: float = SIMILAR
     rows of the class.  A text of fewer words is one shingle.  A NULL text, one without words
     and a row without doc_id (class_id NULL) are in no group and kept.  Rows equal in doc_id
     and text are one document; if a doc_id has several texts, each row has the class of its
-    own text.  Bands find a link of just that similarity with a chance above 0.9999, and only
-    links verified on the shingles connect.  Other columns of ``docs`` are not used.
+    own text.  Bands find a link of just that similarity with a chance above 0.9999, in buckets of
+    any size, and only links verified on the shingles connect.  Other columns of ``docs`` are not used.
     """
     return classified(docs, size, least).drop("c0", "c1")
 

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from canvass.llm import near_dedup as near
 from canvass.llm.components import components
@@ -77,6 +78,34 @@ def test_large_buckets_are_split_and_meet_again(spark, monkeypatch):
     assert links.count() < 40 * 39 / 2
 
 
+def test_a_crowded_bucket_connects_pairs_without_a_hub(spark):
+    """All texts meet in one bucket only, and most pairs hold none of its hubs."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(100):
+        words, sig = [f"w{k}x{i}" for i in range(60)], rng.integers(0, 256, 150, dtype=np.uint8).tobytes()
+        rows += [(2 * k, " ".join(words), sig, [7, 100 + 2 * k]), (2 * k + 1, " ".join(words + ["end"]), sig, [7, 101 + 2 * k])]
+    docs = near.sources(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"))
+    signs = spark.createDataFrame([(r[0], *r[2:]) for r in rows], "node long, sig binary, bands array<long>")
+    classes = docs.join(signs, F.col("doc_id") == F.col("node")).select("node", *near.SAME, "sig", "bands")
+    found = {r["node"]: r["root"] for r in near.connected(classes, docs, 5, 0.8).collect()}
+    assert found == {i: i - i % 2 for i in range(200)}
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_blocks_of_a_crowded_bucket_all_meet(spark, monkeypatch, block):
+    """All pairs of different components are found, whichever blocks they are dealt to."""
+    monkeypatch.setattr(near, "BLOCK", block)
+    rows = [(i, f"a b c d e f g {i}" if i % 2 else f"a b c d e f {i} g") for i in range(40)]
+    docs = near.sources(spark.createDataFrame(rows, "doc_id long, text string"))
+    classes = docs.select(F.col("doc_id").alias("node"), *near.SAME, F.lit(bytes(range(150))).alias("sig"),
+                          F.array(F.lit(7).cast("long"), F.col("doc_id") + 100).alias("bands"))
+    roots = spark.createDataFrame([(i, 0) for i in range(25)], "node long, root long")
+    found = near.crowded(classes, docs, roots, 5, 0.0).collect()
+    wanted = {(a, b) for b in range(25, 40) for a in range(b)}
+    assert sorted((r["a"], r["b"]) for r in found) == sorted(wanted)
+
+
 def test_a_bucket_proposes_a_bounded_number_of_links():
     rng = np.random.default_rng(0)
     sigs = np.tile(rng.integers(0, 256, 150, dtype=np.uint8), (500, 1))
