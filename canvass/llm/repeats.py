@@ -289,6 +289,17 @@ def usable(docs: DataFrame, rule: Rule) -> DataFrame:
     return docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= rule.width)).select("doc_id", "tag", "text")
 
 
+def once(docs: DataFrame) -> DataFrame:
+    """doc_id, tag and text; of rows equal in them one.  Only texts that are repeated move."""
+    same = ["doc_id", "tag", "h0", "h1"]
+    rows = docs.filter("doc_id IS NOT NULL").select("doc_id", "tag", "text", *(F.xxhash64(F.lit(k), "text").alias(f"h{k}") for k in range(2)))
+    repeated = stored(rows.groupBy(*same).count().filter("count > 1").drop("count"), "repeated")
+    if not repeated.limit(1).count():
+        return docs
+    first = rows.join(repeated, same, "left_semi").dropDuplicates(same)
+    return rows.join(repeated, same, "left_anti").unionByName(first).select("doc_id", "tag", "text")
+
+
 def segment_round(docs: DataFrame, rule: Rule) -> DataFrame:
     """The first sort: covered and unclear segments."""
     prepare(docs.sparkSession)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from canvass.llm.automaton import SuffixAutomaton
 from canvass.llm.repeats import (
-    COVERED, FOUND, FOUND_SQL, UNCLEAR, WIDE, Rule, blocks, runs_of, segment_round, tagged, union_of, usable,
+    COVERED, FOUND, FOUND_SQL, UNCLEAR, WIDE, Rule, blocks, once, runs_of, segment_round, tagged, union_of, usable,
     window_round, with_text, word_tokens,
 )
 from canvass.llm.shared import stored
@@ -80,6 +80,7 @@ def shard_round(docs: DataFrame, rule: Rule, unclear: DataFrame) -> DataFrame:
 
 def repeated_windows(docs: DataFrame, rule: Rule) -> DataFrame:
     """(doc, tag, runs): starts of the windows that also start earlier."""
+    docs = once(docs)
     found = segment_round(docs, rule)
     covered = found.filter(F.col("state") == COVERED)
     covered = covered.unionByName(shard_round(docs, rule, found.filter(F.col("state") == UNCLEAR)))

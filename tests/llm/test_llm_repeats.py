@@ -75,6 +75,15 @@ def test_passages_that_start_earlier_go(spark, group):
     assert {r["kept_columns"]["tag"] for r in got} == {"x"}
 
 
+@pytest.mark.parametrize("group", [512, 1])
+def test_a_repeated_row_is_one_document(spark, group):
+    """Rows equal in doc_id and text repeat nothing of each other, but others repeat them."""
+    text = " ".join(f"u{i}" for i in range(60))
+    rows = [(7, text), (7, text), (7, text), (8, text[4:]), (9, " ".join(f"v{i}" for i in range(30)))]
+    got = words.substring_dedup(frame(spark, rows), replace(words.RULE, group=group)).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in got) == [(7, 60, 0)] * 3 + [(8, 59, 58), (9, 30, 0)]
+
+
 def test_empty_tables(spark):
     assert suffix_dedup(frame(spark, [])).count() == 0
     assert words.substring_dedup(frame(spark, [])).count() == 0
