@@ -271,6 +271,32 @@ def compared(rule: Rule):
     return run
 
 
+def same_windows(rule: Rule):
+    """The last sorting task: settle equal windows, however many; a lot knows the name the one before ended in."""
+
+    def run(batches):
+        known, known_doc = None, 0
+        for key, content, doc, place in lots(batches):
+            sent = place & SETTLED == SETTLED
+            first = place >> FIRST
+            tag = (place >> TAG & ((1 << TAG_BITS) - 1)).astype(np.int32)
+            last = first + np.where(sent, content, 0)
+            anchor, covered = key >> 16, sent.copy()
+            a, c, d = anchor[~sent], content[~sent], doc[~sent]
+            if len(c):
+                opens = np.ones(len(c), bool)
+                opens[1:] = (c[1:] != c[:-1]) | (a[1:] != a[:-1])
+                opens[0] = known != (a[0], c[0])
+                head = np.maximum.accumulate(np.where(opens, np.arange(len(c)), -1))
+                head_doc = np.where(head < 0, known_doc, d[head])
+                covered[~sent] = ~opens if rule.within else d > head_doc
+                known, known_doc = (a[-1], c[-1]), head_doc[-1]
+            state = np.full(len(key), COVERED, np.int8)
+            yield pa.RecordBatch.from_arrays([pa.array(x[covered]) for x in (doc, tag, state, anchor, first, last)], schema=FOUND)
+
+    return run
+
+
 def sorted_rows(rows: DataFrame) -> DataFrame:
     anchor = F.shiftright("key", 16)
     return rows.repartition(anchor).sortWithinPartitions(anchor, "content", "doc", "place")
@@ -310,7 +336,7 @@ def segment_round(docs: DataFrame, rule: Rule) -> DataFrame:
 def window_round(docs: DataFrame, rule: Rule, unclear: DataFrame) -> DataFrame:
     """The second sort: covered windows of unclear segments."""
     rows = with_text(usable(docs, rule), runs_of(unclear)).mapInArrow(window_rows(rule), ROWS_SQL)
-    return stored(sorted_rows(rows).mapInArrow(compared(rule), FOUND_SQL), "windows").filter(F.col("state") == COVERED)
+    return stored(sorted_rows(rows).mapInArrow(same_windows(rule), FOUND_SQL), "windows")
 
 
 def tagged(docs: DataFrame, keep: list[str] = ()) -> DataFrame:

@@ -5,10 +5,12 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from canvass.llm import substring_dedup as words
 from canvass.llm.automaton import SuffixAutomaton
-from canvass.llm.repeats import Rule, byte_tokens, word_tokens
+from canvass.llm.repeats import Rule, byte_tokens, tagged, window_round, word_tokens
+from canvass.llm.shared import settings
 from canvass.llm.suffix_dedup import suffix_dedup
 from canvass.llm.windows import names, segments, window_minimum
 
@@ -84,6 +86,17 @@ def test_a_repeated_row_is_one_document(spark, group):
     assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in got) == [(7, 60, 0)] * 3 + [(8, 59, 58), (9, 30, 0)]
 
 
+@pytest.mark.parametrize("within", [False, True])
+def test_one_window_in_more_rows_than_a_lot(spark, within):
+    """Documents of one letter, from several tasks: only the earliest windows stay."""
+    rule, many = Rule(byte_tokens, 50, 17, within, group=1000), 99_951
+    with settings(spark, spark__sql__adaptive__enabled="false", spark__sql__autoBroadcastJoinThreshold="-1"):
+        docs = tagged(spark.createDataFrame([(i, "a" * 100_000) for i in range(1, 9)], "doc_id long, text string"))
+        unclear = docs.selectExpr("doc_id AS doc", "tag", "0L AS first", f"{many - 1}L AS last")
+        found = window_round(docs, rule, unclear).groupBy("doc").agg(F.expr("sum(last - first + 1)")).collect()
+    assert dict(map(tuple, found)) == {i: many for i in range(2, 9)} | ({1: many - 1} if within else {})
+
+
 def test_empty_tables(spark):
     assert suffix_dedup(frame(spark, [])).count() == 0
     assert words.substring_dedup(frame(spark, [])).count() == 0
