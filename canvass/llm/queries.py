@@ -12,6 +12,7 @@ from canvass.llm.decontaminate import benchmark_hits
 from canvass.llm.language import language_id
 from canvass.llm.near_dedup import near_duplicates
 from canvass.llm.near_vectors import near_vectors
+from canvass.llm.quality import quality_rules
 from canvass.llm.substring_dedup import substring_dedup
 from canvass.llm.suffix_dedup import suffix_dedup
 from canvass.llm.toxicity import toxicity
@@ -68,6 +69,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents")).drop("word_distance", "class_distance")
+
+
 # islands of covered tokens from the starts f(doc_id, p) of covered windows
 ISLANDS = """
  g AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + {w} THEN 0 ELSE 1 END AS opens FROM f),
@@ -131,8 +136,44 @@ OP9_SQL = """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
 FROM c LEFT JOIN n USING (vec_id)"""
 
+# a histogram's distance from its language's: shares p and q side by side
+DISTANCE = "sqrt(greatest(0, sum((CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)))"
+CLASS_COUNT = "len(regexp_replace({}, '{}', '', 'g'))"
+CLASS_LIST = ", ".join(CLASS_COUNT.format("w", p) for p in (
+    "[^a-z]+", "[^A-Z]+", "[\\P{L}A-Za-z]+", "[^0-9]+", "[^.,;:!?]+", "[^#*$%&|<>]+"))
+
+OP13_SQL = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, 'und') AS lang, coalesce(text, '') AS t,
+   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS h FROM documents),
+ win AS (SELECT r, p, array_to_string(h[p:p + 4], ' ') AS g FROM (SELECT r, h, unnest(range(1, len(h) - 3)) AS p FROM d)),
+ rep AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY r, g) AS n FROM win) WHERE n > 1),
+ cov AS (SELECT r, count(DISTINCT p + i) AS n FROM rep, range(0, 5) x(i) GROUP BY r),
+ lin AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+ m AS (SELECT d.r, doc_id, lang, t, h, CAST(len(h) AS BIGINT) AS n_words,
+   CAST(len(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+   CAST(len(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+   CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
+   FROM d JOIN lin USING (r) LEFT JOIN cov USING (r)),
+ b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
+ wd AS (SELECT r, lang, w, count(*) AS n FROM (SELECT r, lang, unnest(h) AS w FROM d) GROUP BY ALL),
+ tot AS (SELECT lang, sum(n) AS n FROM wd GROUP BY lang HAVING sum(n) >= 2000),
+ com AS (SELECT lang, w, c / tot.n AS q FROM (SELECT lang, lower(w) AS w, sum(n) AS c,
+   row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, lower(w)) AS k FROM wd GROUP BY lang, lower(w)) JOIN tot USING (lang) WHERE k <= 64),
+ j AS (SELECT r, lang, n_words FROM b JOIN tot USING (lang) WHERE NOT base_failed AND n_words >= 50),
+ seen AS (SELECT r, lower(w) AS w, sum(n) AS c FROM wd GROUP BY r, lower(w)),
+ ws AS (SELECT j.r, coalesce(c, 0) / n_words AS p, q FROM j JOIN com USING (lang) LEFT JOIN seen ON seen.r = j.r AND seen.w = com.w),
+ wr AS (SELECT * FROM ws UNION ALL SELECT r, 1 - sum(p), 1 - sum(q) FROM ws GROUP BY r),
+ wdist AS (SELECT r, {DISTANCE} AS far FROM wr GROUP BY r),
+ known AS (SELECT r, lang, n, len(w) AS chars, [{CLASS_LIST}] AS f FROM wd),
+ cc AS (SELECT r, lang, k, CASE WHEN k < 7 THEN sum(n * f[k]) ELSE sum(n * (chars - list_sum(f))) END AS c FROM known, range(1, 8) x(k) GROUP BY r, lang, k),
+ cl AS (SELECT lang, k, sum(c) / sum(sum(c)) OVER (PARTITION BY lang) AS q FROM cc GROUP BY lang, k),
+ cdist AS (SELECT r, {DISTANCE} AS far FROM (SELECT cc.r, cc.c / sum(cc.c) OVER (PARTITION BY cc.r) AS p, q FROM cc JOIN cl USING (lang, k))
+   WHERE r IN (SELECT r FROM j) GROUP BY r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+   NOT base_failed AND coalesce(wdist.far <= 0.54 AND cdist.far <= 0.28, true) AS kept
+FROM b LEFT JOIN wdist USING (r) LEFT JOIN cdist USING (r)"""
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_bpe, op3_substring_dedup, op4_near_dedup, op5_warc, op6_chats, op7_toxicity, op8_language,
-    op9_near_vectors, op10_decontaminate)}
+    op9_near_vectors, op10_decontaminate, op13_quality_rules)}
 ORACLES = {"op1_suffix_dedup": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op5_warc": OP5_SQL, "op6_chats": OP6_SQL,
-           "op9_near_vectors": OP9_SQL}
+           "op9_near_vectors": OP9_SQL, "op13_quality_rules": OP13_SQL}
