@@ -12,6 +12,7 @@ from canvass.llm.decontaminate import benchmark_hits
 from canvass.llm.language import language_id
 from canvass.llm.near_dedup import near_duplicates
 from canvass.llm.near_vectors import near_vectors
+from canvass.llm.phrases import collocations
 from canvass.llm.quality import quality_rules
 from canvass.llm.substring_dedup import substring_dedup
 from canvass.llm.suffix_dedup import suffix_dedup
@@ -69,6 +70,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("word_distance", "class_distance")
 
@@ -136,6 +141,25 @@ OP9_SQL = """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
 FROM c LEFT JOIN n USING (vec_id)"""
 
+OP12_SQL = r"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+ w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS h FROM d),
+ n AS (SELECT lang, sum(len(h)) AS n FROM w GROUP BY lang),
+ g AS (SELECT lang, size, array_to_string(h[i:i + size - 1], ' ') AS phrase
+       FROM (SELECT lang, h, size, unnest(range(1, len(h) - size + 2)) AS i FROM w, range(1, 5) s(size))),
+ f AS (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+ c AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS h, size, unnest(range(1, size)) AS k FROM f WHERE size > 1),
+ s AS (SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r, CAST(CAST(2000000 AS HUGEINT) * a // (x.f + y.f) AS BIGINT) AS score
+       FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(h[1:k], ' ')
+              JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(h[k + 1:], ' ')),
+ b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ i AS (SELECT lang, array_to_string(string_split(phrase, ' ')[j:j + many - 1], ' ') AS phrase, max(f) AS longer
+       FROM (SELECT lang, phrase, f, many, unnest(range(1, size - many + 2)) AS j FROM f, range(2, 4) m(many) WHERE size > many) GROUP BY ALL)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank,
+   phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+FROM b JOIN n USING (lang) LEFT JOIN i USING (lang, phrase) WHERE longer IS NULL OR CAST(100 AS HUGEINT) * longer < CAST(80 AS HUGEINT) * a
+QUALIFY rank <= 2000"""
+
 # a histogram's distance from its language's: shares p and q side by side
 DISTANCE = "sqrt(greatest(0, sum((CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)))"
 CLASS_COUNT = "len(regexp_replace({}, '{}', '', 'g'))"
@@ -174,6 +198,6 @@ FROM b LEFT JOIN wdist USING (r) LEFT JOIN cdist USING (r)"""
 
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_bpe, op3_substring_dedup, op4_near_dedup, op5_warc, op6_chats, op7_toxicity, op8_language,
-    op9_near_vectors, op10_decontaminate, op13_quality_rules)}
+    op9_near_vectors, op10_decontaminate, op12_collocations, op13_quality_rules)}
 ORACLES = {"op1_suffix_dedup": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op5_warc": OP5_SQL, "op6_chats": OP6_SQL,
-           "op9_near_vectors": OP9_SQL, "op13_quality_rules": OP13_SQL}
+           "op9_near_vectors": OP9_SQL, "op12_collocations": OP12_SQL, "op13_quality_rules": OP13_SQL}
