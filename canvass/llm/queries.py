@@ -14,6 +14,7 @@ from canvass.llm.near_dedup import near_duplicates
 from canvass.llm.near_vectors import near_vectors
 from canvass.llm.phrases import collocations
 from canvass.llm.quality import quality_rules
+from canvass.llm.repair import damaged, repaired
 from canvass.llm.substring_dedup import substring_dedup
 from canvass.llm.suffix_dedup import suffix_dedup
 from canvass.llm.toxicity import toxicity
@@ -70,6 +71,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repaired(conversations, damaged(conversations))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
@@ -141,6 +147,47 @@ OP9_SQL = """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
 FROM c LEFT JOIN n USING (vec_id)"""
 
+# forward over the turns: the cheapest edits to each state, least initials first; up to two inserts stand between turns
+OP11_SQL = r"""WITH RECURSIVE crc AS (SELECT list_transform(range(0, 256), lambda n: list_reduce(list_prepend(n, range(0, 8)),
+   lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+ o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+   list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ascii(c) AS BIGINT)) AS bytes
+   FROM conversations),
+ h AS (SELECT o.*, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS damage FROM o, crc),
+ m AS (SELECT conv_id, turn, CASE WHEN damage = 4 THEN 'user' ELSE role END AS role,
+   CASE damage WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+   unnest(range(0, CASE WHEN damage = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE damage <> 0),
+ p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS j FROM m),
+ r AS (SELECT conv_id, turn, role, text, left(role, 1) AS x, j, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY j) AS before,
+   CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b'
+        WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY j) > 1 THEN 'd'
+        WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS fault
+   FROM p),
+ ins(q, p, k) AS (VALUES (0, 0, 0), (0, 2, 1), (0, 3, 2), (1, 1, 0), (1, 2, 1), (1, 3, 2), (2, 2, 0), (2, 3, 1), (3, 3, 0), (3, 2, 1)),
+ after(x, p, z) AS (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)),
+ edit AS (SELECT 'D' AS e, NULL AS x, p, p AS z, 4 AS c FROM range(0, 4) s(p)
+   UNION ALL SELECT 'K', x, p, z, 0 FROM after UNION ALL SELECT 'R', NULL, p, z, 3 FROM after WHERE x <> 's'),
+ step AS (SELECT q, z, e, x, k, 3 * k + c AS c, repeat('I', CAST(k AS BIGINT)) || e AS a FROM ins JOIN edit USING (p)),
+ dp AS (SELECT conv_id, 0::BIGINT AS j, 0::BIGINT AS q, {'c': 0::BIGINT, 'a': ''} AS best FROM (SELECT DISTINCT conv_id FROM r)
+   UNION ALL SELECT dp.conv_id, dp.j + 1, CAST(step.z AS BIGINT), min({'c': best.c + step.c + CASE WHEN fault = 't' AND e <> 'D' THEN 3 ELSE 0 END, 'a': best.a || step.a})
+   FROM dp JOIN r ON r.conv_id IS NOT DISTINCT FROM dp.conv_id AND r.j = dp.j + 1 JOIN step ON step.q = dp.q
+   WHERE (fault NOT IN ('b', 'd') OR e = 'D') AND (e <> 'K' OR step.x = r.x) GROUP BY dp.conv_id, dp.j, step.z),
+ s AS (SELECT conv_id, max(j) AS n, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+   count(*) FILTER (j > 1 AND before || x NOT IN ('su', 'ua', 'au')) AS illegal,
+   coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps FROM r GROUP BY conv_id),
+ f AS (SELECT dp.conv_id, min({'c': best.c + [0, 6, 3, 0][q + 1], 'a': best.a || ['', 'II', 'I', ''][q + 1]}) AS best
+   FROM dp JOIN s ON s.conv_id IS NOT DISTINCT FROM dp.conv_id AND s.n = dp.j GROUP BY dp.conv_id),
+ l AS (SELECT conv_id, i, best.a[i] AS e, len(replace(best.a, 'D', '')) % 2 AS shift, len(replace(best.a[1:i], 'I', '')) AS j, len(replace(best.a[1:i], 'D', '')) - 1 AS seq
+   FROM (SELECT conv_id, best, unnest(range(1, len(best.a) + 1)) AS i FROM f)),
+ t AS (SELECT l.conv_id, sha256(string_agg(CASE WHEN e = 'K' THEN role WHEN (seq - shift) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' ||
+     CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY i)) AS h
+   FROM l LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM l.conv_id AND r.j = l.j WHERE e <> 'D' GROUP BY l.conv_id)
+SELECT i.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+   CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(best.c, 0) AS BIGINT) AS cost,
+   coalesce(best.a, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM i.conv_id
+LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM i.conv_id"""
+
 OP12_SQL = r"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
  w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS h FROM d),
@@ -198,6 +245,6 @@ FROM b LEFT JOIN wdist USING (r) LEFT JOIN cdist USING (r)"""
 
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_bpe, op3_substring_dedup, op4_near_dedup, op5_warc, op6_chats, op7_toxicity, op8_language,
-    op9_near_vectors, op10_decontaminate, op12_collocations, op13_quality_rules)}
-ORACLES = {"op1_suffix_dedup": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op5_warc": OP5_SQL, "op6_chats": OP6_SQL,
+    op9_near_vectors, op10_decontaminate, op11_repair, op12_collocations, op13_quality_rules)}
+ORACLES = {"op1_suffix_dedup": OP1_SQL, "op11_repair": OP11_SQL, "op3_substring_dedup": OP3_SQL, "op5_warc": OP5_SQL, "op6_chats": OP6_SQL,
            "op9_near_vectors": OP9_SQL, "op12_collocations": OP12_SQL, "op13_quality_rules": OP13_SQL}
