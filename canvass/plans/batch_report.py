@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from canvass.operators import reports
 from canvass.sinks.connectors import Writer
 from canvass.sinks.ledger import recorded
-from canvass.sinks.tables import append, overwrite, write_partitioned
+from canvass.sinks.tables import append, read_tables, write_partitioned, write_tables
 from canvass.sources.surveys import landing_frame
 
 REPORTS = ("daily_stats", "tech_trends", "correlations", "hourly_report")
@@ -28,28 +28,30 @@ def land_surveys(surveys: DataFrame, path: str) -> DataFrame:
 def write_reports(surveys: DataFrame, out: str, exact: bool = True) -> None:
     """The four tables, from three passes over the submissions: cells, distinct people, trends.
 
-    ``exact=False`` sketches the distinct counts.
+    They become readable together, in one commit.  ``exact=False`` sketches the distinct counts.
     """
-    spark = surveys.sparkSession
-    passes = {
-        "cells": reports.cells(surveys), "distinct_people": reports.distinct_people(surveys, exact),
-        "tech_trends": reports.tech_trends(surveys),
-    }
-    for name, rows in passes.items():
-        overwrite(rows, f"{out}/{name}")
-    counted, people = (spark.read.parquet(f"{out}/{name}") for name in ("cells", "distinct_people"))
-    overwrite(reports.daily_from(counted, people), f"{out}/daily_stats")
-    overwrite(reports.hourly_from(counted, people), f"{out}/hourly_report")
-    overwrite(reports.correlations_from(counted), f"{out}/correlations")
+
+    def passes(_: dict) -> dict:
+        return {"cells": reports.cells(surveys), "distinct_people": reports.distinct_people(surveys, exact),
+                "tech_trends": reports.tech_trends(surveys)}
+
+    def tables(stored: dict) -> dict:
+        counted, people = stored["cells"], stored["distinct_people"]
+        return {"daily_stats": reports.daily_from(counted, people), "hourly_report": reports.hourly_from(counted, people),
+                "correlations": reports.correlations_from(counted)}
+
+    write_tables(surveys.sparkSession, f"{out}/tables", passes, tables)
+
+
+def read_reports(spark: SparkSession, out: str) -> dict[str, DataFrame]:
+    """All tables of the newest complete run."""
+    return read_tables(spark, f"{out}/tables")
 
 
 def stored_summary(spark: SparkSession, out: str) -> DataFrame:
     """Summary of the stored tables; no report is computed a second time for it."""
-    return reports.run_summary(
-        spark.read.parquet(f"{out}/daily_stats"),
-        spark.read.parquet(f"{out}/hourly_report"),
-        spark.read.parquet(f"{out}/correlations"),
-    )
+    stored = read_reports(spark, out)
+    return reports.run_summary(stored["daily_stats"], stored["hourly_report"], stored["correlations"])
 
 
 def run_batch_report(surveys: DataFrame, out: str, land_to: str | None = None,
@@ -68,8 +70,8 @@ def run_batch_report(surveys: DataFrame, out: str, land_to: str | None = None,
         append(summary.select(generated.alias("generated_at"), "*"), f"{out}/survey_reports")
         if copy:
             for name in (*REPORTS, "survey_reports"):
-                copy(spark.read.parquet(f"{out}/{name}"), name)
-        span = spark.read.parquet(f"{out}/cells").agg(
+                copy(spark.read.parquet(f"{out}/{name}") if name == "survey_reports" else read_reports(spark, out)[name], name)
+        span = read_reports(spark, out)["cells"].agg(
             F.min("first_at").alias("start"), F.max("last_at").alias("end")).first()
         row = summary.first()
         return {

@@ -24,7 +24,11 @@ def read_text(spark: SparkSession, path: str) -> str | None:
 
 
 def replace_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file beside the old one and put it in its place."""
+    """Write a small file beside the old one and put it in its place.
+
+    Readers see the old or the new text where the file system renames at once, as HDFS and local
+    ones do; object stores don't, so there such a file belongs on a file system of the first kind.
+    """
     hadoop, place, system = _located(spark, path)
     fresh = hadoop.Path(path + ".new")
     stream = system.create(fresh, True)
@@ -38,6 +42,19 @@ def replace_text(spark: SparkSession, path: str, text: str) -> None:
     context.rename(fresh, place, overwrite)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders right below a path."""
+    _, place, system = _located(spark, path)
+    return sorted(s.getPath().getName() for s in system.listStatus(place) if s.isDirectory()) if system.exists(place) else []
+
+
+def listing(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(name, bytes, time of the last change) of the data files right below a path."""
+    _, place, system = _located(spark, path)
+    found = ((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in system.listStatus(place) if s.isFile())
+    return sorted(f for f in found if not f[0].startswith(("_", ".")))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     _, place, system = _located(spark, path)
     return system.exists(place)

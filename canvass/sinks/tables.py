@@ -48,7 +48,7 @@ def _listed(spark: SparkSession, path: str, kind: str) -> dict:
     """The parts of a table; a folder that something else writes is refused."""
     text = files.read_text(spark, f"{path}/{LIST}")
     if text is None:
-        if files.exists(spark, path):
+        if files.exists(spark, path) and files.folders(spark, path) != ["data"]:  # a first part that failed leaves data alone
             raise ValueError(f"{path} was written by something else")
         return {"kind": kind, "parts": []}
     found = json.loads(text)
@@ -57,10 +57,12 @@ def _listed(spark: SparkSession, path: str, kind: str) -> dict:
     return found
 
 
-def _add(df: DataFrame, path: str, by: list[str] | None) -> str:
+def _add(df: DataFrame, path: str, by: list[str] | None, arrange: Fold | None = None) -> str:
     """A new part; day folders, where wanted, lie inside it."""
     folder = f"data/{uuid.uuid4().hex}"
-    if by:
+    if arrange:
+        arrange(df).write.partitionBy(*(by or [])).parquet(f"{path}/{folder}")
+    elif by:
         write_partitioned(df, f"{path}/{folder}", by, "overwrite")
     else:
         overwrite(df, f"{path}/{folder}")
@@ -79,12 +81,15 @@ def _read(spark: SparkSession, path: str, found: dict, parts: list[dict]) -> Dat
     return reduce(DataFrame.unionByName, [spark.read.schema(schema).parquet(f"{path}/{p['folder']}") for p in parts])
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int, by: list[str] | None = None, fold: Fold | None = None) -> None:
+def write_batch(df: DataFrame, path: str, batch_id: int, by: list[str] | None = None, fold: Fold | None = None,
+                arrange: Fold | None = None) -> None:
     """Append what one micro-batch gave; a repeated batch replaces its earlier output.
 
     Closed batches are folded into larger parts, ``FOLD`` of one size at a time, so the number
     of parts grows with the logarithm of the number of batches.  ``fold`` merges their rows, as
     ``latest_per_key`` does for an updating query; without it they are kept as they are.
+    ``arrange`` orders a part's rows for its files.  Parts that no list names any more stay until
+    the next ones go, so a reader that opened the list before can finish.
     """
     spark = df.sparkSession
     found = _listed(spark, path, "batches")
@@ -93,18 +98,21 @@ def write_batch(df: DataFrame, path: str, batch_id: int, by: list[str] | None =
         raise ValueError(f"batch {batch_id} of {path} was folded already; a new checkpoint needs a new folder")
     gone = [p for p in found["parts"] if p["last"] >= batch_id]
     df = df.withColumn("batch_id", F.lit(batch_id).cast("long"))
-    part = {"first": batch_id, "last": batch_id, "size": 0, "folder": _add(df, path, by)}
+    part = {"first": batch_id, "last": batch_id, "size": 0, "folder": _add(df, path, by, arrange)}
     found |= {"schema": df.schema.jsonValue(), "by": by, "parts": [*older, part]}
     _save(spark, path, found)
     while (group := _foldable(found["parts"])):
         merged = _read(spark, path, found, group)
         whole = {"first": group[0]["first"], "last": group[-1]["last"], "size": group[0]["size"] + 1,
-                 "folder": _add(fold(merged) if fold else merged, path, by)}
+                 "folder": _add(fold(merged) if fold else merged, path, by, arrange)}
         found["parts"] = sorted([p for p in found["parts"] if p not in group] + [whole], key=lambda p: p["first"])
         _save(spark, path, found)
         gone += group
-    for p in gone:  # no list names them any more
-        files.remove(spark, f"{path}/{p['folder']}")
+    if gone:
+        retired = found.get("retired", [])
+        _save(spark, path, found | {"retired": [p["folder"] for p in gone]})
+        for folder in retired:
+            files.remove(spark, f"{path}/{folder}")
 
 
 def _foldable(parts: list[dict]) -> list[dict]:
@@ -141,6 +149,36 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, found, found["parts"][:1])
 
 
+Step = Callable[[dict[str, DataFrame]], dict[str, DataFrame]]
+
+
+def write_tables(spark: SparkSession, path: str, *steps: Step) -> None:
+    """Replace several tables in one commit: readers see all of the old ones until all new ones are complete.
+
+    Each step gets the tables that the steps before it have stored, and gives further ones.  The
+    generation before stays for readers that opened it.
+    """
+    found = _listed(spark, path, "tables")
+    old, folder, done, schemas = found["parts"], f"data/{uuid.uuid4().hex}", {}, {}
+    for step in steps:
+        for name, df in step(dict(done)).items():
+            overwrite(df, f"{path}/{folder}/{name}")
+            schemas[name] = df.schema.jsonValue()
+            done[name] = spark.read.schema(df.schema).parquet(f"{path}/{folder}/{name}")
+    _save(spark, path, found | {"parts": [{"folder": folder, "schemas": schemas}, *old[:1]]})
+    for p in old[1:]:
+        files.remove(spark, f"{path}/{p['folder']}")
+
+
+def read_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of the newest complete generation, all of that one."""
+    parts = _listed(spark, path, "tables")["parts"]
+    if not parts:
+        raise ValueError(f"nothing was written to {path} yet")
+    return {name: spark.read.schema(StructType.fromJson(schema)).parquet(f"{path}/{parts[0]['folder']}/{name}")
+            for name, schema in parts[0]["schemas"].items()}
+
+
 def latest_per_key(batches: DataFrame, keys: list[str]) -> DataFrame:
     """The newest state of each key among the outputs of an updating query."""
     return latest_rows(batches, keys).drop("batch_id")

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from canvass.operators import logs, submissions, text_features
 from canvass.operators.submissions import intake_problem
+from canvass.operators.token_index import add_to_index
 from canvass.sinks.messages import Publisher, submission_messages
 from canvass.sinks.tables import write_batch
 from canvass.sources.queue import decode_messages
@@ -148,3 +149,12 @@ def start_log_routing(events: DataFrame, out: str, checkpoints: str,
         .option("checkpointLocation", f"{checkpoints}/log_routing")
         .trigger(**_trigger(interval)).start()
     )
+
+
+def start_token_index(docs: DataFrame, out: str, checkpoints: str, interval: str | None = None, **columns) -> StreamingQuery:
+    """Extend the word index of a stream of documents by each micro-batch; ``columns`` as of ``add_to_index``."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        add_to_index(batch, f"{out}/token_index", batch_id, **columns)
+
+    return _start(docs, "token_index", write, checkpoints, interval)

@@ -16,16 +16,18 @@ from canvass.operators import (
     samples,
     submissions,
     text_features,
+    token_index,
 )
 from canvass.functions.scales import DESCENDING, rating
 from canvass.functions.stats import pearson
-from canvass.plans.batch_report import land_surveys, run_batch_report, write_reports
+from canvass.plans.batch_report import land_surveys, read_reports, run_batch_report, write_reports
+from canvass.plans.incremental import refresh_reports
 from canvass.session import work_dir
 from canvass.sinks.ledger import current_states
 from canvass.sinks.messages import submission_messages
 from canvass.sinks.tables import write_partitioned
 from canvass.sources.catalogue import FALLBACK_SURVEY, SITE_SURVEY, TECHNOLOGY_SURVEY, catalogue
-from canvass.sources.logs import read_log_index, union_intake
+from canvass.sources.logs import newest_hits, read_log_index, union_intake
 from canvass.sources.queue import decode_messages
 from workload import fixtures as fx
 from workload.catalog import ORACLES, day, joined, query, r6, stamp
@@ -152,7 +154,7 @@ def stored_report(spark, sf_dir, name):
     """A table of the batch job, read back from where it was stored."""
     out = work_dir(spark, "batch_report")
     write_reports(land_surveys(documents_of(spark, sf_dir), f"{out}/landed"), out)
-    return spark.read.parquet(f"{out}/{name}")
+    return read_reports(spark, out)[name]
 
 
 @query("batch_report_daily", ORACLES["daily_stats"])
@@ -176,6 +178,43 @@ def batch_report_correlations(spark, sf_dir):
     return _rounded(stored_report(spark, sf_dir, "correlations"))
 
 
+def _in_two_runs(spark, sf_dir, exact):
+    """Reports of the landed events, refreshed after each half of them arrived; the days they share are counted again."""
+    out = work_dir(spark, "refreshed")
+    documents = documents_of(spark, sf_dir)
+    middle = documents.agg(F.median(F.unix_micros(F.col("submittedAt").cast("timestamp")))).scalar()
+    first = F.unix_micros(F.col("submittedAt").cast("timestamp")) < middle
+    land_surveys(documents.filter(first), f"{out}/landed")
+    refresh_reports(spark, f"{out}/landed", out, exact)
+    # a landing replaces its days, so the day that was cut lands whole
+    cut = F.to_date(F.timestamp_micros(F.floor(middle)))
+    land_surveys(documents.filter(F.to_date("submittedAt") >= cut), f"{out}/landed")
+    refresh_reports(spark, f"{out}/landed", out, exact)
+    return read_reports(spark, out)
+
+
+@query("refreshed_daily", ORACLES["daily_stats"])
+def refreshed_daily(spark, sf_dir):
+    return _in_two_runs(spark, sf_dir, True)["daily_stats"].withColumns({"date": day("date"), "avg_rating": r6("avg_rating")})
+
+
+@query("refreshed_hourly", ORACLES["hourly_report"])
+def refreshed_hourly(spark, sf_dir):
+    return _in_two_runs(spark, sf_dir, True)["hourly_report"].withColumn("avg_rating", r6("avg_rating"))
+
+
+@query("refreshed_sketches", f"""
+WITH {S}, d AS (SELECT CAST(submittedAt AS DATE) AS date, count(DISTINCT "userId") AS users, count(DISTINCT "sessionId") AS sessions FROM s GROUP BY 1)
+SELECT strftime(date, '%Y-%m-%d') AS date, true AS users_close, true AS sessions_close FROM d""")
+def refreshed_sketches(spark, sf_dir):
+    """Distinct people from stored sketches, within four standard errors of the exact counts."""
+    sketched = _in_two_runs(spark, sf_dir, False)["daily_stats"]
+    exact = reports.daily_stats(surveys(spark, sf_dir)).select(F.col("date").alias("d"), F.col("unique_users").alias("u"), F.col("unique_sessions").alias("s"))
+    close = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.greatest(F.lit(1.0), 4 * 1.04 / 128 * F.col(b))
+    return sketched.join(exact, F.col("date").eqNullSafe(F.col("d"))).select(
+        day("date").alias("date"), close("unique_users", "u").alias("users_close"), close("unique_sessions", "s").alias("sessions_close"))
+
+
 @query("landed_projection", f"""
 WITH {S}
 SELECT surveyId AS "surveyId", count(*) AS n, count(spring_performance) AS rated, count(java_tech_interest) AS chosen
@@ -636,6 +675,16 @@ def log_index_search(spark, sf_dir):
     return hits.select("event_id", "level", "message", stamp("@timestamp").alias("logged_at"))
 
 
+@query("log_newest_days", ORACLES["log_index_search"])
+def log_newest_days(spark, sf_dir):
+    """The same search from the newest day back; days behind the last hit wanted stay closed."""
+    root = work_dir(spark, "log_index")
+    write_partitioned(routed_logs(spark, sf_dir).drop("event_type", "ingested_at", "ts", "index"),
+                      root, ["index_name", "index_date"])
+    hits, _ = newest_hits(spark, root, "v2 MISSING", 25, "logs*", newest=("@timestamp", "event_id"), first_day="2024-01-20")
+    return hits.select("event_id", "level", "message", stamp("@timestamp").alias("logged_at"))
+
+
 @query("log_search_topk", """
 SELECT conv_id, turn, text FROM conversations
 WHERE list_has_any(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), ['que', 'the', 'einach'])
@@ -656,6 +705,14 @@ def text_match_count(spark, sf_dir):
     return docs.groupBy("lang").agg(F.count("*").alias("docs"))
 
 
+@query("token_index_match_count", ORACLES["text_match_count"])
+def token_index_match_count(spark, sf_dir):
+    """The same documents by their postings; no text is read for the search."""
+    path = work_dir(spark, "token_index")
+    token_index.add_to_index(fx.table(spark, sf_dir, "documents"), path, 0, "doc_id", keep=("lang",))
+    return token_index.matching(spark, path, "with license").groupBy("lang").agg(F.count("*").alias("docs"))
+
+
 @query("log_display", """
 SELECT conv_id, turn, CASE role WHEN 'system' THEN 'Brak wiadomości' ELSE text END AS message FROM conversations""")
 def log_display(spark, sf_dir):
