@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from canvass.operators import logs, submissions, text_features
 from canvass.operators.submissions import intake_problem
 from canvass.operators.token_index import add_to_index
+from canvass.session import STATE
 from canvass.sinks.messages import Publisher, submission_messages
 from canvass.sinks.tables import write_batch
 from canvass.sources.queue import decode_messages
@@ -27,6 +28,19 @@ def _start(stream: DataFrame, name: str, write, checkpoints: str, interval: str
     )
 
 
+def once_per_delivery(lines: DataFrame, within: str, message: str = "value") -> DataFrame:
+    """Lines of a queue without those delivered again within a time after the first.
+
+    The state holds a digest of each message for that time only.  It goes by arrival, so a message that is late
+    but new is kept; two messages of equal text, their own time included, are one.
+    """
+    for key, value in STATE.items():
+        lines.sparkSession.conf.set(key, value)
+    digest = F.sha2(F.coalesce(F.col(message), F.lit("")).cast("binary"), 256)
+    marked = lines.withColumns({"_digest": digest, "_arrived": F.current_timestamp()})
+    return marked.withWatermark("_arrived", within).dropDuplicatesWithinWatermark(["_digest"]).drop("_digest", "_arrived")
+
+
 def _keep(df: DataFrame) -> DataFrame:
     """Keep a batch while it is written several times; a lost block is decoded again."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
@@ -102,9 +116,11 @@ def route(decoded: DataFrame) -> dict[str, DataFrame]:
 
 
 def start_router(lines: DataFrame, out: str, checkpoints: str, interval: str | None = None,
-                 publish: Publisher | None = None, write: Callable = write_batch) -> StreamingQuery:
+                 publish: Publisher | None = None, write: Callable = write_batch,
+                 redelivery: str | None = None) -> StreamingQuery:
     """Queue worker: store by type and forward.
 
+    ``redelivery`` is the time in which a queue may deliver a message again; such copies are dropped.
     ``write`` stores a table's batch, as ``queries.copying(write_batch, to_tables(...))`` makes
     it for a relational store.
     """
@@ -120,6 +136,8 @@ def start_router(lines: DataFrame, out: str, checkpoints: str, interval: str | N
         finally:
             decoded.unpersist()
 
+    if redelivery:
+        lines = once_per_delivery(lines, redelivery)
     return _start(lines, "queue_router", write_all, checkpoints, interval)
 
 

@@ -94,14 +94,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Files that a stream of events comes in, and how late the late rows are.
-FILES, LATE = 4, "5 minutes"
+#: Micro-batches that a stream of events comes in, the files of each, and how late the late rows are.
+FILES, PARTS, LATE = 4, 2, "5 minutes"
 
 
-def event_table_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream of several files in the order of time, one for each micro-batch.
+def event_table_stream(spark: SparkSession, sf_dir: str, again: int | None = None) -> DataFrame:
+    """The events as a stream of several files in the order of time, ``PARTS`` for each micro-batch.
 
-    Each seventh event of the last minutes of a file comes late, in the next one.
+    Each seventh event of the last minutes of a batch comes late, in the next one.  With ``again``
+    the events whose id it divides come a second time in the next batch.
     """
     events = table(spark, sf_dir, "events")
     folder = work_dir(spark, "event_files")
@@ -109,9 +110,10 @@ def event_table_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     delay = F.when(F.col("event_id") % 7 == 0, F.expr(f"INTERVAL {LATE}")).otherwise(F.expr("INTERVAL 0 minutes"))
     arrival = F.unix_micros((F.col("ts") + delay).cast("timestamp")) - low
     number = F.least(F.floor(arrival * FILES / (high - low + 1)), F.lit(FILES - 1))
+    twice = (F.col("event_id") % again == 0) if again else F.lit(False)
     for k in range(FILES):
-        events.filter(number == k).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        events.filter((number == k) | (twice & (number == k - 1))).repartition(PARTS).write.mode("append").parquet(folder)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", PARTS).parquet(folder)
 
 
 def project(df: DataFrame, columns: dict[str, str]) -> DataFrame:

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canvass.operators import kpi, popularity, submissions
+from canvass.operators import kpi, logs, popularity, submissions, token_index
 from canvass.session import work_dir
 from canvass.sinks.tables import latest_per_key, read_batches, read_snapshot
 from canvass.sources.surveys import decode_events, valid_events
-from canvass.streaming import intake, queries
+from canvass.streaming import intake, late, queries
 from workload import fixtures as fx
 from workload.batch_queries import (
     ANSWERS_JSON,
     HIST,
     LOGS,
     INDEX_NAME,
+    LOG_TIME,
     QUEUE,
     S,
     SENTIMENT,
@@ -305,3 +306,47 @@ def kpi_from_stored(spark, sf_dir):
     fresh = record(submissions.normalise_submissions(fx.request_bodies(fx.table(spark, sf_dir, "events"))))
     same = F.col("rated") == fresh.select("rated").scalar()
     return stored.select("totalResponses", "uniqueUsers", "techPopularity", same.alias("same_as_fresh"))
+
+
+@query("queue_redelivered", f"""
+WITH {QUEUE}, u AS (SELECT DISTINCT kind, CASE WHEN kind IN (0, 1, 8, 9) THEN event_id END AS event_id FROM z)
+SELECT 'survey_responses' AS output, count(*) AS n FROM u WHERE kind IN (0, 7, 8, 9)
+UNION ALL SELECT 'contact_messages', count(*) FROM u WHERE kind = 1
+UNION ALL SELECT 'dead_letters', count(*) FROM u WHERE kind IN (3, 6)
+UNION ALL SELECT 'forwarded', count(*) FROM u WHERE kind <> 3""")
+def queue_redelivered(spark, sf_dir):
+    """Each fifth line comes again in the next micro-batch, and is stored once; lines of equal text are one message."""
+    out, checkpoints = folders(spark, "redelivered")
+    lines = fx.queue_lines(fx.event_table_stream(spark, sf_dir, again=5))
+    finish(intake.start_router(lines, out, checkpoints, redelivery="10 minutes"))
+    rows = [read_batches(spark, f"{out}/{name}").select(F.lit(name).alias("output"))
+            for name in ("survey_responses", "contact_messages", "dead_letters", "forwarded")]
+    return rows[0].unionAll(rows[1]).unionAll(rows[2]).unionAll(rows[3]).groupBy("output").agg(F.count("*").alias("n"))
+
+
+@query("stream_late_rows", f"""
+WITH e AS (SELECT event_id, event_type, ts, epoch_us(ts) - min(epoch_us(ts)) OVER () AS since,
+   max(epoch_us(ts)) OVER () - min(epoch_us(ts)) OVER () + 1 AS span FROM events),
+b AS (SELECT *, least(floor((since + CASE WHEN event_id % 7 = 0 THEN 300000000 ELSE 0 END) * {fx.FILES} / span), {fx.FILES - 1}) AS batch FROM e),
+m AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM b GROUP BY batch)
+SELECT coalesce(ts < before - INTERVAL 1 MINUTE, false) AS late, event_type, count(*) AS n, sum(event_id) AS ids
+FROM b JOIN m USING (batch) GROUP BY ALL""")
+def stream_late_rows(spark, sf_dir):
+    """Rows that a watermark of one minute would drop are stored beside the others."""
+    out, checkpoints = folders(spark, "late_rows")
+    finish(late.start_keeping_late(fx.event_table_stream(spark, sf_dir), out, checkpoints, "events", "ts", "1 minute"))
+    rows = read_batches(spark, f"{out}/events").withColumn("late", F.lit(False)).unionByName(
+        read_batches(spark, f"{out}/events_late").withColumn("late", F.lit(True)))
+    return rows.groupBy("late", "event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("stream_token_index", f"""
+WITH {LOGS} SELECT strftime(CAST({LOG_TIME} AS DATE), '%Y-%m-%d') AS day, count(*) AS docs FROM g
+WHERE list_has_any(regexp_split_to_array(lower(message), '[^\\p{{L}}\\p{{N}}]+'), ['v2', 'missing']) GROUP BY 1""")
+def stream_token_index(spark, sf_dir):
+    """Log messages indexed by word as they arrive; matches of each day from the postings alone."""
+    out, checkpoints = folders(spark, "token_index")
+    entries = logs.normalise_time(fx.log_entries(fx.event_table_stream(spark, sf_dir)))
+    finish(intake.start_token_index(entries, out, checkpoints, doc="event_id", text="message", day="@timestamp"))
+    found = token_index.hits_by_day(spark, f"{out}/token_index", "v2 MISSING")
+    return found.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "docs")
