@@ -51,11 +51,29 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
 # What parts words, and what parts pieces.
 BLANK, STOP = b" \t", b".,;:!?\n\x0b\x0c\r"
+SCATTER = mix(np.arange(256, dtype=U) * LEFT + RIGHT)
+#: Bytes hashed at once.
+HASHED = 1 << 19
 KIND = np.zeros(256, np.uint8)
 KIND[list(BLANK)] = 1
 KIND[list(STOP)] = 2
 
 
+def hashes(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A name of each word, whatever its place: differences of a running polynomial, over a block of the text at a time."""
+    out, i = np.zeros(len(start), U), 0
+    while i < len(start):
+        first = start[i]
+        j = max(i + 1, np.searchsorted(end, first + HASHED, side="right"))
+        total = np.zeros(end[j - 1] - first + 1, U)
+        np.cumsum(SCATTER[text[first:end[j - 1]]] * powers(BASE, len(total) - 1), out=total[1:])
+        back = powers(pow(BASE, -1, 1 << 64), len(total))
+        low, high = start[i:j] - first, end[i:j] - first
+        out[i:j] = mix((total[high] - total[low]) * back[low] + (high - low).astype(U) * LEFT)
+        i = j
+    return out
+
+
 class Lot:
     """The words of some texts: their names, places, pieces and texts; each text has a language's name and a group's."""
 
@@ -65,11 +83,7 @@ class Lot:
         gap = kind > 0
         before = np.append(True, gap[:-1])
         self.start, self.end = np.flatnonzero(~gap & before), np.flatnonzero(gap & ~before)
-        scatter = mix(np.arange(256, dtype=U) * LEFT + RIGHT)
-        total = np.zeros(len(gap) + 1, U)
-        np.cumsum(scatter[self.joined] * powers(BASE, len(gap)), out=total[1:])
-        back = powers(pow(BASE, -1, 1 << 64), len(gap))
-        self.words = mix((total[self.end] - total[self.start]) * back[self.start] + (self.end - self.start).astype(U) * LEFT)
+        self.words = hashes(self.joined, self.start, self.end)
         self.piece = np.cumsum(kind == 2)[self.start]
         edge = np.cumsum([0, *(len(t) + 1 for t in texts)])
         self.text = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(self.start, edge)))
