@@ -6,11 +6,10 @@
    signature, with at most ``HUBS`` members, the most central first, and proposes links.
    Buckets beyond ``CHUNK`` members are split at random, and the most central members of the
    parts meet again, so no task holds more than a part.
-3. Proposed links are verified on the shingles themselves: first the best one of each class,
-   then all others that would connect what is not connected yet.
+3. Proposed links are verified on the shingles themselves, in rounds: each component tries its likeliest link
+   to another one, and what a verified link connected needs no further trial.
 4. In buckets of more than ``HUBS`` members, all pairs that are still unconnected are compared by
-   signature, in pairs of blocks, then by a longer one; likely ones are verified too.
-5. Verified links are joined to components.
+   signature, in pairs of blocks, then by a longer one; likely ones are verified too, in rounds as well.
 """
 
 from __future__ import annotations
@@ -306,28 +305,57 @@ def texts_of(classes: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame
     return docs.select(*SAME, "text").join(firsts, SAME).select("node", "text").dropDuplicates(["node"])
 
 
+def rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose sides have different roots, with both."""
+    pairs = pairs.drop("root_a", "root_b")
+    for side in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side)
+    return pairs.filter("root_a <> root_b")
+
+
+def joined_up(pairs: DataFrame, texts: DataFrame, roots: DataFrame, size: int, least: float) -> DataFrame:
+    """(node, root) after all likely ``pairs``(a, b, likeness) were tried, from the roots so far of all their nodes.
+
+    In rounds: each root tries its likeliest pair to another root; verified ones connect the roots,
+    and pairs inside a component need no trial any more.  So a group of copies verifies about as many pairs as it
+    has members, and only one edge for each verified pair of roots goes on.  Pairs that fail are gone; as many of them can
+    stand between two roots, each round tries four times as many pairs of a root as the one before.
+    """
+    left, wanted = stored(rooted(pairs, roots), "left"), 1
+    while True:
+        slot = F.pmod(F.xxhash64("a", "b"), F.lit(wanted)).alias("slot")
+        pair = ("likeness", "a", "b", "root_a", "root_b")
+        sides = left.select(*pair, slot, F.explode(F.array("root_a", "root_b")).alias("of"))
+        picks = stored(sides.groupBy("of", "slot").agg(F.max(F.struct(*pair)).alias("m")).select("m.*").distinct(), "picks")
+        if not picks.limit(1).count():
+            return roots
+        sure = verified(picks, texts, size, least).select("a", "b")
+        edges = picks.join(sure, ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+        tops = components(edges).select(F.col("node").alias("under"), F.col("root").alias("top"))
+        roots = roots.join(tops, F.col("root") == F.col("under"), "left")
+        roots = stored(roots.select("node", F.coalesce("top", "root").alias("root")), "roots")
+        left = stored(rooted(left.join(picks.select("a", "b"), ["a", "b"], "left_anti"), roots), "left")
+        wanted *= 4
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
 def connected(classes: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
-    """(node, root) of the classes that have a verified link."""
+    """(node, root) of the classes that have a likely link."""
     links = stored(proposals(classes.select("node", "sig", "bands"), least - SLACK), "links")
-    linked = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = stored(texts_of(classes, docs, linked), "texts")
-    sides = links.select("a", "b", "likeness", F.explode(F.array("a", "b")).alias("node"))
-    best = sides.groupBy("node").agg(F.max(F.struct("likeness", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
-    sure = verified(best, texts, size, least).select("a", "b")
-    roots = components(sure)
-    rest = links.join(best, ["a", "b"], "left_anti")
-    for side in ("a", "b"):
-        root = roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
-        rest = rest.join(root, side, "left")
-    rest = rest.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-    sure = sure.unionByName(verified(rest, texts, size, least).select("a", "b"))
-    roots = components(sure)
+    linked = stored(ends(links).withColumn("root", F.col("node")), "linked")
+    texts = stored(texts_of(classes, docs, linked.select("node")), "texts")
+    roots = joined_up(links, texts, linked, size, least)
     more = crowded(classes, docs, roots, size, least)
     if more is None:
         return roots
-    more = stored(more.join(links, ["a", "b"], "left_anti"), "more")
-    texts = stored(texts_of(classes, docs, more.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "texts")
-    return components(sure.unionByName(verified(more, texts, size, least).select("a", "b")))
+    more = stored(more.join(links, ["a", "b"], "left_anti").withColumn("likeness", F.lit(0.0)), "more")
+    others = ends(more)
+    texts = stored(texts_of(classes, docs, others), "texts")
+    alone = others.join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))
+    return joined_up(more, texts, stored(roots.unionByName(alone), "roots"), size, least)
 
 
 def classified(docs: DataFrame, size: int, least: float) -> DataFrame:
