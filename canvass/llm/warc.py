@@ -2,24 +2,27 @@
 
 One gzip member holds one record, and the member's header carries its length (the extra field
 ``sl``, compressed and plain length).  A reader inflates the record's headers first; where a
-pushed predicate refuses them it goes on at the next member, and the payload is never decoded.
+predicate refuses them it goes on at the next member, and the payload is never decoded.  Predicates belong
+to a load, as its options: Spark keeps one reader for all uses of a loaded frame, so what it would
+push for one use would lose rows of another.
 Members without that field are inflated and thrown away.  Each file is a partition; writers
 close a file at ``FILE_BYTES``.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
-    DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, IsNotNull, StringStartsWith,
-    WriterCommitMessage,
+    DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage,
 )
 
 from canvass.llm.shared import prepare
@@ -32,6 +35,7 @@ FIELDS = {
     "warc_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI",
     "refers_to": "WARC-Refers-To", "payload_digest": "WARC-Payload-Digest", "payload_length": "X-Payload-Length",
 }
+REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 FILE_BYTES, HEAD_BYTES = 64 << 20, 4096
 # gzip's magic number with deflate, its extra-field flag, and the RFC 4648 alphabet.
@@ -55,12 +59,16 @@ def one_line(value) -> str:
     return str(value).replace("\r", "%0D").replace("\n", "%0A")
 
 
-def record_of(row) -> bytes:
+def record_of(row, date: str) -> bytes:
     payload = row["payload"]
     block = b"" if payload is None else HTTP % len(payload) + bytes(payload)
-    lines = ["WARC/1.1"]
+    lines = ["WARC/1.1", f"WARC-Date: {date}"]
     lines += [f"{field}: {one_line(row[name])}" for name, field in FIELDS.items() if row[name] is not None]
-    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    if row["warc_type"] == "revisit":
+        lines.append(f"WARC-Profile: {REVISIT}")
+    if block:
+        lines.append("Content-Type: application/http; msgtype=response")
+    lines.append(f"Content-Length: {len(block)}")
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -70,15 +78,14 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceWriter):
-    """Tasks write to a pending folder; the files of successful attempts are moved at the end."""
+    """Tasks write to a pending folder of this write; the files of successful attempts are moved at the end."""
 
     def __init__(self, path: str, level: int) -> None:
         self.path, self.level = path, level
-        self.prepare()
-
-    def prepare(self) -> None:
+        self.pending = f"_pending/{uuid.uuid4().hex}"
+        self.date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
         system, path = located(self.path)
-        system.create_dir(f"{path}/_pending", recursive=True)
+        system.create_dir(f"{path}/{self.pending}", recursive=True)
 
     def write(self, iterator) -> Written:
         system, path = located(self.path)
@@ -86,8 +93,8 @@ class WarcWriter(DataSourceWriter):
         for row in iterator:
             if out is None:
                 files.append(f"{uuid.uuid4().hex}.warc.gz")
-                out, size = system.open_output_stream(f"{path}/_pending/{files[-1]}", compression=None), 0
-            size += out.write(member(record_of(row), self.level))
+                out, size = system.open_output_stream(f"{path}/{self.pending}/{files[-1]}", compression=None), 0
+            size += out.write(member(record_of(row, self.date), self.level))
             if size >= FILE_BYTES:
                 out.close()
                 out = None
@@ -98,38 +105,27 @@ class WarcWriter(DataSourceWriter):
     def commit(self, messages) -> None:
         system, path = located(self.path)
         for name in (f for m in messages if m for f in m.files):
-            system.move(f"{path}/_pending/{name}", f"{path}/{name}")
+            system.move(f"{path}/{self.pending}/{name}", f"{path}/{name}")
+        self.clean()
 
     def abort(self, messages) -> None:
         """Pending files are no part of the archive."""
+        self.clean()
+
+    def clean(self) -> None:
+        """What is left are files of attempts that failed."""
+        system, path = located(self.path)
+        system.delete_dir(f"{path}/{self.pending}")
 
 
 class WarcReader(DataSourceReader):
-    def __init__(self, path: str) -> None:
-        self.path = path
-        self.tests: list[tuple[str, str, tuple]] = []
-
-    def pushFilters(self, filters):
-        """Equality, membership and prefixes of header columns; Spark tests the rest."""
-        for f in filters:
-            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
-            if name not in FIELDS or name == "payload_length":
-                yield f
-            elif isinstance(f, EqualTo):
-                self.tests.append((name, "in", (f.value,)))
-            elif isinstance(f, In):
-                self.tests.append((name, "in", tuple(f.value)))
-            elif isinstance(f, StringStartsWith):
-                self.tests.append((name, "starts", f.value))
-            elif isinstance(f, IsNotNull):
-                self.tests.append((name, "given", ()))
-            else:
-                yield f
+    def __init__(self, path: str, tests: list[tuple[str, str, object]]) -> None:
+        self.path, self.tests = path, tests
 
     def wanted(self, head: dict) -> bool:
         for name, kind, value in self.tests:
             given = head.get(FIELDS[name].lower())
-            if given is None or kind == "in" and given not in value or kind == "starts" and not given.startswith(value):
+            if given is None or kind == "equal" and given not in value or kind == "starts" and not given.startswith(value):
                 return False
         return True
 
@@ -212,7 +208,7 @@ def row_of(head: dict, block: bytes) -> tuple:
 
 
 class WarcSource(DataSource):
-    """``spark.read.format("warc")`` and ``df.write.format("warc")``; option ``level`` of gzip."""
+    """``spark.read.format("warc")`` and ``df.write.format("warc")``; options ``level`` of gzip, and ``tests`` of the headers."""
 
     @classmethod
     def name(cls) -> str:
@@ -222,7 +218,7 @@ class WarcSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> WarcReader:
-        return WarcReader(self.options["path"])
+        return WarcReader(self.options["path"], json.loads(self.options.get("tests", "[]")))
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
         if overwrite:
@@ -233,7 +229,6 @@ class WarcSource(DataSource):
 def register(spark: SparkSession) -> None:
     prepare(spark)
     spark.dataSource.register(WarcSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -277,14 +272,19 @@ def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
     records_of(pages, least).write.format("warc").mode("append").save(path)
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all archives in a folder.
+def read_archives(spark: SparkSession, path: str, equal: dict[str, str | list[str]] | None = None,
+                  starts: dict[str, str] | None = None) -> DataFrame:
+    """The records of all archives in a folder, or those whose headers have certain values or beginnings.
 
-    Load anew for each set of predicates: Spark keeps one reader for a loaded frame, and pushes
-    the predicates of all its uses to it.
+    Both name columns that are headers; a list gives several values.  Payloads of other records are
+    not decoded, and a record without such a header is none of them.
     """
     register(spark)
-    return spark.read.format("warc").load(path)
+    tests = [(c, "equal", [v] if isinstance(v, str) else list(v)) for c, v in (equal or {}).items()]
+    tests += [(c, "starts", v) for c, v in (starts or {}).items()]
+    if unknown := {c for c, _, _ in tests} - (FIELDS.keys() - {"payload_length"}):
+        raise ValueError(f"no headers: {sorted(unknown)}")
+    return spark.read.format("warc").option("tests", json.dumps(tests)).load(path)
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
@@ -298,11 +298,11 @@ def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     write_archives(pages, path, least)
     page = F.regexp_extract(F.col("record_id"), "^<urn:page:(-?[0-9]*)>$", 1)
     other = F.regexp_extract(F.col("refers_to"), "^<urn:page:(-?[0-9]*)>$", 1)
-    responses = read_archives(spark, path).filter(F.col("warc_type") == "response").select(
+    responses = read_archives(spark, path, {"warc_type": "response"}).select(
         page.try_cast("long").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"),
         base32_sha1(F.col("payload")).alias("payload_digest"), F.lit("response").alias("record_type"),
         F.lit(None).cast("long").alias("refers_to"), F.col("target_uri").alias("url"))
-    revisits = read_archives(spark, path).filter(F.col("warc_type") == "revisit").select(
+    revisits = read_archives(spark, path, {"warc_type": "revisit"}).select(
         page.try_cast("long").alias("page_id"), F.col("payload_length").alias("payload_bytes"),
         F.substring_index("payload_digest", ":", -1).alias("payload_digest"), F.lit("revisit").alias("record_type"),
         other.try_cast("long").alias("refers_to"), F.col("target_uri").alias("url"))
