@@ -97,16 +97,16 @@ def fitted(batches):
 
 
 def train(docs: DataFrame, chosen: DataFrame, sample: int = SAMPLE) -> LanguageModel:
-    """Learn from at most ``sample`` rows of ``chosen``(doc_id, label); one language needs no bits."""
+    """Learn from at most ``sample`` rows of ``chosen``(doc_id, label), and up to ``ngrams.OF_LABEL`` of each; one language needs no bits."""
     prepare(docs.sparkSession)
-    rows = sample_of(docs, chosen, sample).filter("text IS NOT NULL")
+    rows = sample_of(docs, chosen, sample)
     found = rows.mapInArrow(vector_rows, "label string, bucket array<smallint>, value array<float>")
     languages = sorted(r[0] for r in rows.select("label").distinct().collect())
     if len(languages) < 2:
         return LanguageModel(languages, np.ones((len(languages), 0)), np.ones(0), np.zeros((1 << BITS, 0)), np.zeros(0))
     # at most ``sample`` rows of 2**BITS numbers; one task fits them
     fields = "bit int, code array<int>, languages array<string>, trust double, weights array<double>, bias double"
-    bits = sorted(found.coalesce(1).mapInArrow(fitted, fields).collect())
+    bits = sorted(found.repartition(1).mapInArrow(fitted, fields).collect())
     return LanguageModel(list(bits[0]["languages"]), *(np.array([b[k] for b in bits]).T for k in ("code", "trust", "weights", "bias")))
 
 

@@ -6,9 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from canvass.llm.shared import stored
+
 W = np.uint32
 STEP, SPREAD = W(0x01000193), W(0x9E3779B1)  # odd constants with mixed bits
 BLOCK = 1 << 19
@@ -54,11 +56,22 @@ def held_out(part: int, of: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % of == part, F.lit(True))
 
 
-def sample_of(docs: DataFrame, chosen: DataFrame, most: int) -> DataFrame:
-    """The texts of at most ``most`` rows of ``chosen``(doc_id, label), taken in hash order."""
-    ids = chosen.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id")  # bounded by most
-    return texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+#: Rows of each label that a sample holds even if the label is rare.
+OF_LABEL = 200
+
+
+def sample_of(docs: DataFrame, chosen: DataFrame, most: int, of_label: int = OF_LABEL) -> DataFrame:
+    """The texts of at most ``most`` rows of ``chosen``(doc_id, label), taken in hash order, and of rare labels up to ``of_label``.
+
+    Only ids that have a text count.
+    """
+    texts = docs.select(F.col("doc_id").cast("long"), "text").filter("text IS NOT NULL")
+    ids = chosen.groupBy("doc_id").agg(F.max("label").alias("label")).join(texts.select("doc_id"), "doc_id", "left_semi")
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    rare = ids.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(*order))).filter(F.col("rank") <= of_label)
+    # written, so that Spark knows how small it is
+    ids = stored(ids.orderBy(*order).limit(most).unionByName(rare.drop("rank")).distinct(), "sample")
+    return texts.join(ids, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def logistic(product: Callable, transposed: Callable, target: np.ndarray, features: int, decay: float, rounds: int):

@@ -20,8 +20,8 @@ from canvass.llm.shared import by_text, prepare
 
 ORDERS, BITS = (3, 4, 5), 18
 #: Labelled rows that are learnt from, and buckets that are kept.
-SAMPLE, FEATURES = 8_000, 1 << 11
-SMOOTH, DECAY, ROUNDS, THRESHOLD = 1.0, 2e-5, 150, 0.7
+SAMPLE, FEATURES = 8_000, 1 << 13
+SMOOTH, DECAY, ROUNDS, THRESHOLD = 1.0, 2e-5, 300, 0.7
 
 COUNTS = pa.schema([("bucket", pa.int32()), ("toxic", pa.int64()), ("other", pa.int64())])
 PRESENT = pa.schema([("label", pa.int32()), ("buckets", pa.list_(pa.int32()))])
@@ -66,7 +66,9 @@ def present_buckets(kept: np.ndarray, bits: int):
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> ToxicityModel:
-    """Learn from at most ``sample`` labelled rows; NULL labels teach nothing.
+    """Learn from at most ``sample`` labelled rows, and up to ``ngrams.OF_LABEL`` of each label; NULL labels and texts teach nothing.
+
+    The ``features`` buckets whose share differs most surely between the labels are kept, the others have no weight.
 
     Without both classes the model is the share of toxic rows, or 0 without any row.
     """
@@ -88,7 +90,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     ratio[[r["bucket"] for r in best]] = [r["ratio"] for r in best]
     found = rows.mapInArrow(present_buckets(ratio != 0, BITS), "label int, buckets array<int>")
     # at most ``sample`` rows of ``features`` buckets; one task fits them
-    weights = found.coalesce(1).mapInArrow(fitted(ratio), "bucket int, weight double").collect()
+    weights = found.repartition(1).mapInArrow(fitted(ratio), "bucket int, weight double").collect()
     out = np.zeros(1 << BITS)
     for r in weights:
         if r["bucket"] >= 0:
@@ -102,14 +104,15 @@ def fitted(ratio: np.ndarray):
                  for b in batches]
         target, size, index = (np.concatenate(x) for x in zip(*parts, strict=True))
         used = np.flatnonzero(ratio)
-        place = np.searchsorted(used, index)
-        value, row = ratio[index], np.repeat(np.arange(len(size)), size)
+        place = np.searchsorted(used, index).astype(np.int32)
+        del index
+        scale, row = ratio[used], np.repeat(np.arange(len(size), dtype=np.int32), size)
 
         def product(w):
-            return np.bincount(row, value * w[place], len(size))
+            return np.bincount(row, (scale * w)[place], len(size))
 
         def transposed(g):
-            return np.bincount(place, value * g[row], len(used))
+            return scale * np.bincount(place, g[row], len(used))
 
         weights, bias = logistic(product, transposed, target.astype(float), len(used), DECAY, ROUNDS)
         yield pa.RecordBatch.from_arrays(

@@ -50,6 +50,22 @@ def test_toxicity_of_odd_rows(spark):
 
 # --- language --------------------------------------------------------------------------
 
+def test_rare_labels_are_learnt(spark):
+    """Eight texts of one language among thousands of others, and rows without text, which use up nothing."""
+    docs = table(spark, "documents").select("doc_id", "text", "lang")
+    many = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 10**5)).unionByName(docs.withColumn("doc_id", F.col("doc_id") + 2 * 10**5))
+    words = ["przed", "wszystkim", "jest", "że", "się", "który", "także", "źródło", "święto", "łąka", "być", "może", "dzień", "już", "więc"]
+    pick = random.Random(1)
+    rare = [(10**6 + i, " ".join(pick.choice(words) for _ in range(80)), "pl") for i in range(16)]
+    empty = [(2 * 10**6 + i, None, "xx") for i in range(500)]
+    rows = many.unionByName(spark.createDataFrame(rare + empty, many.schema))
+    chosen = rows.filter("lang IS NOT NULL AND (doc_id < 1000000 OR doc_id >= 1000008)").select("doc_id", F.col("lang").alias("label"))
+    model = language.train(rows, chosen, sample=300)
+    assert "pl" in model.languages and "xx" not in model.languages
+    found = language.identify(rows.filter("doc_id BETWEEN 1000000 AND 1000007"), model).collect()
+    assert {r["lang_pred"] for r in found} == {"pl"}
+
+
 def test_held_out_languages(spark):
     docs = table(spark, "documents")
     found = language.language_id(docs)
