@@ -137,9 +137,11 @@ def write_snapshot(df: DataFrame, path: str, batch_id: int) -> None:
     spark = df.sparkSession
     found = _listed(spark, path, "snapshot")
     old, part = found["parts"], {"batch_id": batch_id, "folder": _add(df, path, None)}
-    # the version before stays for readers that opened it
+    # the version of the batch before stays, for readers that opened it and in case this batch is repeated
+    again = [p for p in old if p["batch_id"] >= batch_id]
+    old = [p for p in old if p["batch_id"] < batch_id]
     _save(spark, path, found | {"schema": df.schema.jsonValue(), "parts": [part, *old[:1]]})
-    for p in old[1:]:
+    for p in [*old[1:], *again]:
         files.remove(spark, f"{path}/{p['folder']}")
 
 
@@ -149,6 +151,13 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, found, found["parts"][:1])
 
 
+def read_snapshot_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """The newest result of the batches before this one, None if there is none; a repeated batch reads what it read at first."""
+    found = _listed(spark, path, "snapshot")
+    parts = [p for p in found["parts"] if p["batch_id"] < batch_id]
+    return _read(spark, path, found, parts[:1]) if parts else None
+
+
 Step = Callable[[dict[str, DataFrame]], dict[str, DataFrame]]
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import date
 from functools import reduce
 
@@ -21,6 +22,28 @@ def union_intake(*inputs: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), inputs)
 
 
+@dataclass(frozen=True)
+class Input:
+    """A stream with its event time and how late its rows may come."""
+
+    rows: DataFrame
+    time: str
+    delay: str
+
+
+def union_streams(*inputs: Input, wait_for_slowest: bool = True) -> DataFrame:
+    """One stream of several, with the event time of each as ``event_time`` and a watermark of each input's own delay.
+
+    The watermark of the whole follows the slowest input, so nothing of an input that stalls is late when it
+    comes, but windows stay open until it goes on.  Without ``wait_for_slowest`` it follows the fastest: windows close in
+    time, and what a slow input brings for them later is dropped.  The choice holds for the session.
+    """
+    spark = inputs[0].rows.sparkSession
+    spark.conf.set("spark.sql.streaming.multipleWatermarkPolicy", "min" if wait_for_slowest else "max")
+    marked = [i.rows.withColumn("event_time", F.col(i.time).cast("timestamp")).withWatermark("event_time", i.delay) for i in inputs]
+    return union_intake(*marked)
+
+
 def read_log_index(spark: SparkSession, root: str, pattern: str = "logs*",
                    first_day=None, last_day=None) -> DataFrame:
     """Log documents of the indices that match a pattern, for example ``logs*``.

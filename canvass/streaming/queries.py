@@ -133,6 +133,13 @@ def start_popularity_partials(surveys: DataFrame, out: str, checkpoints: str,
     return _per_batch(surveys, "tech_partials", "append", write, out, checkpoints, interval)
 
 
+def start_log_counts(events: DataFrame, out: str, checkpoints: str, interval: str | None = None, duration: str = "1 hour",
+                     by: tuple[str, ...] = ("level", "role")) -> StreamingQuery:
+    """Log events of a union of streams by window of their event time and by labels, each window once it is closed."""
+    counted = events.groupBy(F.window("event_time", duration).alias("window"), *by).agg(F.count("*").alias("n"))
+    return _per_batch(counted, "log_counts", "append", write_batch, out, checkpoints, interval)
+
+
 def start_audit(surveys: DataFrame, out: str, checkpoints: str, interval: str | None = None,
                 write: Callable | None = None) -> StreamingQuery:
     """Audit documents through the file sink, which itself writes each batch once.

@@ -98,11 +98,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 FILES, PARTS, LATE = 4, 2, "5 minutes"
 
 
-def event_table_stream(spark: SparkSession, sf_dir: str, again: int | None = None) -> DataFrame:
+def event_table_stream(spark: SparkSession, sf_dir: str, again: int | None = None, closing: bool = False) -> DataFrame:
     """The events as a stream of several files in the order of time, ``PARTS`` for each micro-batch.
 
     Each seventh event of the last minutes of a batch comes late, in the next one.  With ``again``
-    the events whose id it divides come a second time in the next batch.
+    the events whose id it divides come a second time in the next batch.  With ``closing`` a last
+    batch holds one event two days later, so that all windows close before the stream ends.
     """
     events = table(spark, sf_dir, "events")
     folder = work_dir(spark, "event_files")
@@ -113,6 +114,9 @@ def event_table_stream(spark: SparkSession, sf_dir: str, again: int | None = Non
     twice = (F.col("event_id") % again == 0) if again else F.lit(False)
     for k in range(FILES):
         events.filter((number == k) | (twice & (number == k - 1))).repartition(PARTS).write.mode("append").parquet(folder)
+    if closing:
+        last = events.orderBy(F.desc("ts"), "event_id").limit(1).withColumns({"ts": F.col("ts") + F.expr("INTERVAL 2 days"), "event_type": F.lit("closing")})
+        last.write.mode("append").parquet(folder)
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", PARTS).parquet(folder)
 
 

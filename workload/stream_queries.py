@@ -9,7 +9,8 @@ from canvass.operators import kpi, logs, popularity, submissions, token_index
 from canvass.session import work_dir
 from canvass.sinks.tables import latest_per_key, read_batches, read_snapshot
 from canvass.sources.surveys import decode_events, valid_events
-from canvass.streaming import intake, late, queries
+from canvass.sources.logs import Input, union_streams
+from canvass.streaming import intake, late, queries, rates
 from workload import fixtures as fx
 from workload.batch_queries import (
     ANSWERS_JSON,
@@ -27,7 +28,7 @@ from workload.batch_queries import (
     _windows,
     surveys,
 )
-from workload.catalog import joined, query, stamp
+from workload.catalog import ORACLES, joined, query, r6, stamp
 
 # messages keep times in milliseconds, and the submitting service's carry no session
 J = f"""e AS ({fx.sql({**fx.SURVEY_COLUMNS, 'event_type': 'event_type'})}),
@@ -350,3 +351,27 @@ def stream_token_index(spark, sf_dir):
     finish(intake.start_token_index(entries, out, checkpoints, doc="event_id", text="message", day="@timestamp"))
     found = token_index.hits_by_day(spark, f"{out}/token_index", "v2 MISSING")
     return found.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "docs")
+
+
+@query("stream_counter_rate", ORACLES["counter_rate_5m"])
+def stream_counter_rate(spark, sf_dir):
+    """The rates of four micro-batches, late samples among them, are those of the whole table."""
+    out, checkpoints = folders(spark, "rates")
+    finish(rates.start_rates(fx.samples(fx.event_table_stream(spark, sf_dir)), out, checkpoints))
+    found = rates.read_rates(spark, out)
+    return found.select("metric", F.col("labels")["instance"].alias("instance"), stamp("ts").alias("ts"), "value", r6("rate").alias("rate"))
+
+
+@query("stream_log_union", f"""
+WITH {LOGS}, x AS (SELECT level, NULL AS role, ts FROM g UNION ALL SELECT NULL, event_type, ts FROM events UNION ALL SELECT 'PAGE', NULL, ts FROM events WHERE event_type = 'view')
+SELECT level, role, count(*) AS n FROM x GROUP BY ALL""")
+def stream_log_union(spark, sf_dir):
+    """Log entries, events and page views as three streams of one query; a last row of each closes all windows."""
+    out, checkpoints = folders(spark, "log_union")
+    entries = fx.log_entries(fx.event_table_stream(spark, sf_dir, closing=True)).select("level", F.col("ts").alias("at"))
+    events = fx.event_table_stream(spark, sf_dir, closing=True).select(F.col("event_type").alias("role"), F.col("ts").alias("happened"))
+    pages = fx.event_table_stream(spark, sf_dir, closing=True).filter("event_type IN ('view', 'closing')").select(
+        F.lit("PAGE").alias("level"), "ts")
+    whole = union_streams(Input(entries, "at", "10 minutes"), Input(events, "happened", "10 minutes"), Input(pages, "ts", "10 minutes"))
+    finish(queries.start_log_counts(whole.select("level", "role", "event_time"), out, checkpoints))
+    return read_batches(spark, f"{out}/log_counts").groupBy("level", "role").agg(F.sum("n").alias("n"))
