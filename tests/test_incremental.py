@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from canvass.functions.text import matches_any
 from canvass.operators import reports, token_index
+from canvass.operators.samples import counter_rate
 from canvass.plans import batch_report, incremental
 from canvass.plans.batch_report import land_surveys, read_reports, write_reports
 from canvass.sinks import files, tables
-from canvass.sources.logs import days_of, newest_hits
-from canvass.streaming import intake, late
+from canvass.sources.logs import Input, days_of, newest_hits, union_streams
+from canvass.streaming import intake, late, queries, rates
 from tests.conftest import SMALL, plan_of
 
 DAY = dt.datetime(2024, 1, 1)
@@ -222,3 +223,57 @@ def test_kept_and_late_rows_are_all_rows_across_a_restart(spark, tmp_path):
     ids = lambda name: {r["id"] for r in tables.read_batches(spark, f"{out}/{name}").collect()}
     assert ids("rows") == {1, 2, 3, 5, 6, 7, 9} and ids("rows_late") == {4, 8}
     assert json.loads(files.read_text(spark, f"{out}/rows_bounds/times.json"))["times"][-1][0] == 2
+
+
+# --- rates and unions of streams -------------------------------------------------------
+
+def test_rates_of_a_stream_are_those_of_the_table(spark, tmp_path):
+    """In several runs, with late samples, a reset, two series and one sample that is too late."""
+    source, out, checkpoints = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "c")
+    source.mkdir()
+    seconds = {"1": [(0, "a", 0), (60, "a", 10), (200, "a", 30), (100, "b", 7)], "2": [(150, "a", 25), (260, "a", 5), (400, "b", 9)],
+               "3": [(290, "a", 8), (5000, "a", 1), (280, "b", 8)], "4": [(5100, "a", 4), (4700, "a", 0), (10, "a", 2)]}
+
+    def rows(items):
+        return [json.dumps({"metric": "m", "labels": {"i": i}, "ts": (DAY + dt.timedelta(seconds=s)).isoformat(), "value": v}) for s, i, v in items]
+
+    for name, items in seconds.items():
+        lines(source, name, *rows(items))
+        stream = spark.readStream.schema(rates.SAMPLE).json(str(source))
+        rates.start_rates(stream, out, checkpoints, 300, 600).awaitTermination()
+    whole = spark.read.schema(rates.SAMPLE).json(str(source)).filter(f"NOT (labels['i'] = 'a' AND value = 2)")
+    say = lambda df: sorted(str(tuple(r)) for r in df.select("metric", "labels", "ts", "value", F.round("rate", 9)).collect())
+    assert say(rates.read_rates(spark, out)) == say(counter_rate(whole, 300))
+    late_one = tables.read_batches(spark, f"{out}/late_samples").collect()
+    assert [r["value"] for r in late_one] == [2.0]
+    assert tables.read_snapshot(spark, f"{out}/carried").count() < whole.count()
+
+
+@pytest.mark.parametrize("waiting", [True, False])
+def test_a_stalled_input_holds_windows_open_or_loses_rows(spark, tmp_path, waiting):
+    out, checkpoints = str(tmp_path / "out"), str(tmp_path / "c")
+    for name in ("fast", "slow"):
+        (tmp_path / name).mkdir()
+    say = lambda h: json.dumps({"level": "I", "at": (DAY + dt.timedelta(hours=h)).isoformat()})
+
+    def run():
+        inputs = [Input(spark.readStream.schema("level string, at timestamp").json(str(tmp_path / n)).withColumn("role", F.lit(n)), "at", "10 minutes")
+                  for n in ("fast", "slow")]
+        whole = union_streams(*inputs, wait_for_slowest=waiting).select("level", "role", "event_time")
+        queries.start_log_counts(whole, out, checkpoints).awaitTermination()
+
+    try:
+        lines(tmp_path / "fast", "1", say(0), say(1))
+        lines(tmp_path / "slow", "1", say(0))
+        run()
+        lines(tmp_path / "fast", "2", say(5), say(6))  # the slow one stalls
+        run()
+        closed = tables.read_batches(spark, f"{out}/log_counts").count()
+        lines(tmp_path / "slow", "2", say(0), say(9))
+        lines(tmp_path / "fast", "3", say(9))
+        run()
+        found = {r["role"]: r["n"] for r in tables.read_batches(spark, f"{out}/log_counts").groupBy("role").agg(F.sum("n").alias("n")).collect()}
+        assert (closed == 0) == waiting
+        assert found == ({"fast": 4, "slow": 2} if waiting else {"fast": 4, "slow": 1})
+    finally:
+        spark.conf.unset("spark.sql.streaming.multipleWatermarkPolicy")
