@@ -13,6 +13,8 @@ from canvass.operators.samples import counter_rate
 from canvass.plans import batch_report, incremental
 from canvass.plans.batch_report import land_surveys, read_reports, write_reports
 from canvass.sinks import files, tables
+from canvass import schemas
+from canvass.sources import evolving
 from canvass.sources.logs import Input, days_of, newest_hits, union_streams
 from canvass.streaming import intake, late, queries, rates
 from tests.conftest import SMALL, plan_of
@@ -277,3 +279,28 @@ def test_a_stalled_input_holds_windows_open_or_loses_rows(spark, tmp_path, waiti
         assert found == ({"fast": 4, "slow": 2} if waiting else {"fast": 4, "slow": 1})
     finally:
         spark.conf.unset("spark.sql.streaming.multipleWatermarkPolicy")
+
+
+# --- answers that become columns -------------------------------------------------------
+
+def test_files_of_several_versions_are_read_as_one(spark, tmp_path):
+    path = str(tmp_path / "landed")
+    schema = "surveyId string, userId string, sessionId string, answers map<string,string>, submittedAt timestamp"
+
+    def day_of(day, *answers):
+        return spark.createDataFrame([("s", "u", f"{day}-{i}", a, DAY + dt.timedelta(days=day)) for i, a in enumerate(answers)], schema)
+
+    old = {"spring_performance": "5", "rare": "x", "surveyId": "clash"}
+    evolving.land_evolving(day_of(0, old, *[{"spring_performance": "4"}] * 9), path, share=0.5)
+    assert [v["version"] for v in evolving.versions(spark, path)] == [1]  # two keys are rare, one has a column
+    new = [{"spring_performance": "3", "rare": "y", "Size": "7"}, {"Size": "9", "size": "1"}, {"tags": '["a", "b"]', "Size": None}]
+    landed = evolving.land_evolving(day_of(1, *new), path, share=0.3)
+    last = evolving.versions(spark, path)[-1]
+    assert last["version"] == 2 and set(last["keys"]) - set(schemas.HOT_ANSWERS) == {"Size", "rare", "tags"}
+    assert last["kinds"]["tags"] == "ARRAY<STRING>" and last["kinds"]["Size"].startswith(("DECIMAL", "BIGINT"))
+    rows = {r["sessionId"]: (r["spring_performance"], r["rare"], r["Size"], r["tags"]) for r in landed.collect()}
+    assert rows["0-0"] == ("5", "x", None, None) and rows["0-3"] == ("4", None, None, None)
+    assert rows["1-0"] == ("3", "y", "7", None) and rows["1-2"] == (None, None, None, '["a", "b"]')
+    assert evolving.read_evolving(spark, path).filter("Size = '9'").count() == 1
+    evolving.land_evolving(day_of(1, new[1]), path, share=0.3)  # nothing new: no further version
+    assert len(evolving.versions(spark, path)) == 2 and evolving.read_evolving(spark, path).count() == 11

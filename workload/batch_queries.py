@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from canvass.operators import (
@@ -26,6 +27,7 @@ from canvass.session import work_dir
 from canvass.sinks.ledger import current_states
 from canvass.sinks.messages import submission_messages
 from canvass.sinks.tables import write_partitioned
+from canvass.sources import evolving
 from canvass.sources.catalogue import FALLBACK_SURVEY, SITE_SURVEY, TECHNOLOGY_SURVEY, catalogue
 from canvass.sources.logs import newest_hits, read_log_index, union_intake
 from canvass.sources.queue import decode_messages
@@ -230,6 +232,23 @@ def landed_projection(spark, sf_dir):
         F.count(F.col("answers")["java_tech_interest"]).alias("chosen"))
 
 
+@query("landed_new_answers", f"""
+WITH {S}, x AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'track' || CAST(event_id % 4 AS VARCHAR) END AS track, submittedAt FROM s)
+SELECT track, count(*) AS n, count(DISTINCT CAST(submittedAt AS DATE)) AS days FROM x GROUP BY 1""")
+def landed_new_answers(spark, sf_dir):
+    """An answer becomes frequent in the second landing; rows of both landings give it as one column."""
+    path = work_dir(spark, "evolving")
+    number = F.expr("'track' || CAST(event_id % 4 AS STRING)")
+    documents = documents_of(spark, sf_dir).withColumn("track", F.when(F.col("event_id") % 2 == 0, number))
+    whole = documents.withColumn("answers", F.map_concat("answers", F.map_filter(F.create_map(F.lit("track"), "track"), lambda _, v: v.isNotNull()))).drop("track")
+    day_number = F.dense_rank().over(Window.orderBy("d"))
+    days = whole.select(F.to_date("submittedAt").alias("d")).distinct().select("d", (day_number % 2).alias("turn"))
+    turn = whole.withColumn("d", F.to_date("submittedAt")).join(F.broadcast(days), "d").drop("d")  # a row for each day
+    evolving.land_evolving(turn.filter("turn = 0").drop("turn"), path, share=0.99)  # not frequent enough yet
+    landed = evolving.land_evolving(turn.filter("turn = 1").drop("turn"), path, share=0.2)
+    return landed.groupBy("track").agg(F.count("*").alias("n"), F.count_distinct(F.to_date("submittedAt")).alias("days"))
+
+
 @query("batch_report_run", SUMMARY.replace("AS avg_correlation", """AS avg_correlation,
        'COMPLETED' AS status, strftime(max(submittedAt), '%Y-%m-%d %H:%M:%S.%f') AS data_end"""))
 def batch_report_run(spark, sf_dir):
