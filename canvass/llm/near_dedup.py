@@ -24,11 +24,11 @@ from canvass.llm.darts import signatures
 from canvass.llm.ngrams import columns
 from canvass.llm.repeats import Rule, blocks, word_tokens
 from canvass.llm.shared import prepare, stored
-from canvass.llm.windows import U, names, paired
+from canvass.llm.windows import LEFT, U, mix, names, paired
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 5
-HUBS, CHUNK, PROPOSED = 32, 1 << 12, 4
+HUBS, CHUNK = 32, 1 << 12
 #: How far the similarity of two signatures may lie below the wanted one: four deviations.
 SLACK = 0.14
 #: Coordinates of the longer signature, its slack, and members of a block and of a tile of it.
@@ -84,15 +84,16 @@ def bucket_links(key: int, more: bool, nodes: np.ndarray, sigs: np.ndarray, leas
     central member, as a loop of likeness 2."""
     order = np.argsort(nodes)
     nodes, sigs = nodes[order], sigs[order]
-    hubs = np.unique(np.linspace(0, len(nodes) - 1, min(HUBS, len(nodes))).astype(int))
+    # the same members are hubs in all their buckets, so few different links are proposed
+    hubs = np.sort(np.argsort(mix(nodes.astype(U) * LEFT))[:HUBS])
     same = np.stack([(sigs == sigs[h]).mean(axis=1) for h in hubs], axis=1)
     like = (same - 1 / 256) / (1 - 1 / 256)
     central = int(hubs[like.mean(axis=0).argmax()])
     like[hubs, np.arange(len(hubs))] = -1
     good = like >= least
-    if len(nodes) > HUBS:  # the closest hubs of each, and the most central one
-        rank = np.argsort(np.argsort(-like, axis=1), axis=1)
-        good &= (rank < PROPOSED) | (hubs == central)
+    if len(nodes) > HUBS:  # the closest hub of each, and the most central one; ``crowded`` looks at what stays apart
+        closest = like == like.max(axis=1, keepdims=True)
+        good &= (closest & (closest.cumsum(axis=1) == 1)) | (hubs == central)
     member, hub = np.nonzero(good)
     extra = [nodes[central]] if more else []
     return (np.full(len(member) + len(extra), key), np.append(nodes[hubs[hub]], extra).astype(np.int64),
@@ -319,14 +320,15 @@ def joined_up(pairs: DataFrame, texts: DataFrame, roots: DataFrame, size: int, l
     In rounds: each root tries its likeliest pair to another root; verified ones connect the roots,
     and pairs inside a component need no trial any more.  So a group of copies verifies about as many pairs as it
     has members, and only one edge for each verified pair of roots goes on.  Pairs that fail are gone; as many of them can
-    stand between two roots, each round tries four times as many pairs of a root as the one before.
+    stand between two roots, each round tries eight times as many pairs of a root as the one before.
     """
     left, wanted = stored(rooted(pairs, roots), "left"), 1
     while True:
         slot = F.pmod(F.xxhash64("a", "b"), F.lit(wanted)).alias("slot")
-        pair = ("likeness", "a", "b", "root_a", "root_b")
-        sides = left.select(*pair, slot, F.explode(F.array("root_a", "root_b")).alias("of"))
-        picks = stored(sides.groupBy("of", "slot").agg(F.max(F.struct(*pair)).alias("m")).select("m.*").distinct(), "picks")
+        best = F.max(F.struct("likeness", "a", "b", "root_a", "root_b")).alias("m")
+        one, other = (left.groupBy(F.col(root).alias("of"), slot).agg(best) for root in ("root_a", "root_b"))
+        picks = one.unionByName(other).groupBy("of", "slot").agg(F.max("m").alias("m"))
+        picks = stored(picks.select("m.*").distinct(), "picks")
         if not picks.limit(1).count():
             return roots
         sure = verified(picks, texts, size, least).select("a", "b")
@@ -335,7 +337,7 @@ def joined_up(pairs: DataFrame, texts: DataFrame, roots: DataFrame, size: int, l
         roots = roots.join(tops, F.col("root") == F.col("under"), "left")
         roots = stored(roots.select("node", F.coalesce("top", "root").alias("root")), "roots")
         left = stored(rooted(left.join(picks.select("a", "b"), ["a", "b"], "left_anti"), roots), "left")
-        wanted *= 4
+        wanted *= 8
 
 
 def ends(pairs: DataFrame) -> DataFrame:
