@@ -10,15 +10,19 @@ vocabulary's pre-tokenizer does, and pieces seen before are looked up.
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
 import re
+import shutil
+import tempfile
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canvass.llm.shared import prepare
@@ -30,8 +34,8 @@ SPLIT = regex.compile(
 BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A space beside another blank: only there does a cut before each space part a piece.
 RUN = re.compile(f" [{BLANK}]|[{BLANK}] ")
-#: Pieces and pairs remembered by a task; when full they are forgotten and found anew.
-PIECES, PAIRS, LONGEST = 100_000, 200_000, 64
+#: Pieces or words, and pairs, of each of the two generations that a worker remembers, and the longest text remembered.
+PIECES, PAIRS, LONGEST = 100_000, 100_000, 64
 
 
 def letters_of_bytes() -> dict[str, int]:
@@ -64,6 +68,7 @@ class Vocabulary:
             self.parts.append((number[left], number[right]))
             words.append(left + right)
         self.ids = np.array([ids[w] for w in words], np.int32)
+        self.packed = [i.tobytes() for i in self.ids]
         self.bytes = [bytes(letters[c] for c in w) for w in words]
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
         table = {int(i): b for i, b in zip(self.ids, self.bytes, strict=True)} | {i: s.encode() for s, i in self.special.items()}
@@ -71,7 +76,7 @@ class Vocabulary:
         self.length = np.array([len(p) for p in parts], np.int64)
         self.offset = np.cumsum(self.length) - self.length
         self.content = np.frombuffer(b"".join(parts), np.uint8)
-        self.after: dict[int, bool] = {}
+        self.after = Remembered(self._follows, PAIRS)
         whole = [True] * 256
         self.automaton = ahocorasick.Automaton()
         for n, b in enumerate(self.bytes):
@@ -81,18 +86,12 @@ class Vocabulary:
             if whole[n]:
                 self.automaton.add_word(b.decode("latin-1"), (n, len(b)))
         self.automaton.make_automaton()
-        self.pieces, self.words = Remembered(self._piece), Remembered(self._word)
+        self.last, self.sizes = [], []
+        self.pieces, self.words = Remembered(self._piece, PIECES), Remembered(self._word, PIECES)
 
-    def forget(self) -> None:
-        for memory in (self.after, self.pieces, self.words):
-            memory.clear()
-
-    def joins(self, left: int, right: int) -> bool:
-        """Whether ``right`` can follow ``left``: no merge joins parts of both before they are made."""
-        if len(self.after) >= PAIRS:
-            self.after.clear()
-        known = self.after[left << 24 | right] = self._apart(left, right, None)
-        return known
+    def _follows(self, pair: int) -> bool:
+        """Whether the right token of a pair can follow the left one: no merge joins parts of both before they are made."""
+        return self._apart(pair >> 24, pair & 0xFFFFFF, None)
 
     def _apart(self, left: int, right: int, made: int | None) -> bool:
         """Undo the merges of both from the latest on; no older pair may cross the border.
@@ -115,28 +114,30 @@ class Vocabulary:
 
     def encode_piece(self, data: str) -> list[int]:
         """Numbers of the tokens of one piece, whose bytes are given as letters."""
-        known = self.after.get
-        last, sizes, done = [0] * len(data), [0] * len(data), -1
+        after, n = self.after, len(data)
+        while len(self.last) < n:  # reused by all pieces
+            self.last += [0] * n
+            self.sizes += [0] * n
+        last, sizes, done = self.last, self.sizes, -1
         for end, (token, size) in self.automaton.iter(data):
-            if end != done:
-                if end >= size:
-                    before = last[end - size]
-                    fits = known(before << 24 | token)
-                    if not (self.joins(before, token) if fits is None else fits):
-                        continue
+            if end != done and (end < size or after[last[end - size] << 24 | token]):
                 last[end], sizes[end], done = token, size, end
-        out, end = [], len(data) - 1
+        out, end = [], n - 1
         while end >= 0:
             out.append(last[end])
             end -= sizes[end]
         return out[::-1]
 
     def _piece(self, piece: str) -> bytes:
-        return self.ids[self.encode_piece(piece.encode().decode("latin-1"))].tobytes()
+        letters = piece if piece.isascii() else piece.encode().decode("latin-1")
+        return b"".join([self.packed[n] for n in self.encode_piece(letters)])
 
     def _word(self, word: str) -> bytes:
-        """Ids of a word with the space before it."""
-        return b"".join(map(self.pieces.__getitem__, SPLIT.findall(" " + word)))
+        """Ids of a word with the space before it; what is one piece is remembered as a word only."""
+        if word.isascii() and word.isalpha():
+            return self._piece(" " + word)
+        pieces = SPLIT.findall(" " + word)
+        return self._piece(pieces[0]) if len(pieces) == 1 else b"".join(map(self.pieces.__getitem__, pieces))
 
     def _plain(self, text: str) -> list[bytes]:
         """Ids of a text without special tokens, cut before its spaces where that parts no piece."""
@@ -171,35 +172,57 @@ def parted(text: str, name: str) -> list[str]:
 
 
 class Remembered(dict):
-    """Results of a function of texts, found when first asked for."""
+    """Results of a function, found when first asked for.
 
-    def __init__(self, find) -> None:
-        self.find = find
+    When it is full, what it holds becomes the older generation, and what was that is forgotten; results asked for
+    again come back from there.  So the frequent ones stay, and at most twice ``most`` are held.
+    """
 
-    def __missing__(self, text: str) -> bytes:
-        found = self.find(text)
-        if len(text) <= LONGEST:
-            if len(self) >= PIECES:
-                self.clear()
-            self[text] = found
+    def __init__(self, find, most: int) -> None:
+        self.find, self.most, self.older = find, most, {}
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is None:
+            found = self.find(key)
+            if isinstance(key, str) and len(key) > LONGEST:
+                return found
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = found
         return found
 
 
+#: The vocabulary that a worker read last, by a digest of its file.
 LOADED: dict[str, Vocabulary] = {}
 
 
-def loaded(name: str) -> Vocabulary:
-    if name not in LOADED:
-        with open(SparkFiles.get(name), encoding="utf-8") as file:
-            LOADED[name] = Vocabulary(file.read())
-    return LOADED[name]
+def loaded(file: str, digest: str) -> Vocabulary:
+    if digest not in LOADED:
+        with open(SparkFiles.get(file), encoding="utf-8") as text:
+            LOADED.clear()
+            LOADED[digest] = Vocabulary(text.read())
+    return LOADED[digest]
+
+
+def shipped(spark: SparkSession, vocabulary: str) -> tuple[str, str]:
+    """Sends the file to the executors by a name that holds its digest, as they keep files by name; (name, digest)."""
+    with open(vocabulary, "rb") as file:
+        digest = hashlib.sha256(file.read()).hexdigest()
+    name = f"vocabulary-{digest}.json"
+    if not any(f.rsplit("/", 1)[-1] == name for f in spark.sparkContext.listFiles):
+        copy = os.path.join(tempfile.mkdtemp(), name)
+        shutil.copyfile(vocabulary, copy)
+        spark.sparkContext.addFile(copy)
+    return name, digest
 
 
-def coded(name: str):
+def coded(file: str, digest: str):
     fields = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     def run(batches):
-        vocabulary = loaded(name)
+        vocabulary = loaded(file, digest)
         for batch in batches:
             ids = [vocabulary.encode(t or "") for t in batch.column("text").to_pylist()]
             ends = np.cumsum([0, *map(len, ids)])
@@ -207,7 +230,6 @@ def coded(name: str):
             texts = [vocabulary.decode(i).decode("utf-8", "replace") for i in ids]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(texts, pa.string())], schema=fields)
-        vocabulary.forget()  # the worker lives on for tasks of other kinds
 
     return run
 
@@ -221,6 +243,5 @@ def bpe(docs: DataFrame, vocabulary: str) -> DataFrame:
     """
     spark = docs.sparkSession
     prepare(spark)
-    spark.sparkContext.addFile(vocabulary)
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(coded(vocabulary.rsplit("/", 1)[-1]), "doc_id long, ids array<int>, decoded string")
+    return rows.mapInArrow(coded(*shipped(spark, vocabulary)), "doc_id long, ids array<int>, decoded string")

@@ -1,5 +1,6 @@
 """Byte-pair encoding against the tokenizers library."""
 
+import json
 import random
 
 import public_tokenizers
@@ -48,10 +49,40 @@ def test_strings_of_tokens(library, vocabulary):
         assert list(vocabulary.encode(text)) == library.encode(text, add_special_tokens=False).ids
 
 
-def test_forgetting_changes_nothing(vocabulary):
+def test_forgetting_changes_nothing(vocabulary, monkeypatch):
     before = [list(vocabulary.encode(t)) for t in texts(2, 200)]
-    vocabulary.forget()
-    assert [list(vocabulary.encode(t)) for t in texts(2, 200)] == before
+    for memory in (vocabulary.words, vocabulary.pieces, vocabulary.after):
+        memory.clear()
+        monkeypatch.setattr(memory, "most", 3)
+        assert [list(vocabulary.encode(t)) for t in texts(2, 200)] == before
+        assert len(memory) <= 3
+
+
+def test_what_is_asked_for_again_is_remembered():
+    asked = []
+    memory = bpe.Remembered(lambda x: asked.append(x) or len(x), 2)
+    for key in ("a", "bb", "a", "ccc", "a", "dddd", "a", "e", "a"):
+        assert memory[key] == len(key)
+    assert asked.count("a") == 1 and len(memory) <= 2 and len(memory.older) <= 2
+
+
+def test_two_vocabularies_of_one_name(spark, tmp_path, library):
+    with open(PATH, encoding="utf-8") as file:
+        whole = json.load(file)
+    fewer = json.loads(json.dumps(whole))
+    gone = {"".join(m.split(" ") if isinstance(m, str) else m) for m in fewer["model"]["merges"][2000:]}
+    fewer["model"]["merges"] = fewer["model"]["merges"][:2000]
+    fewer["model"]["vocab"] = {t: i for t, i in whole["model"]["vocab"].items() if t not in gone}
+    rows = spark.createDataFrame([(1, "Several words of a longer sentence, spelt out.")], "doc_id long, text string")
+    found = []
+    for folder, content in (("one", whole), ("two", fewer)):
+        (tmp_path / folder).mkdir()
+        path = tmp_path / folder / "vocabulary.json"
+        path.write_text(json.dumps(content), encoding="utf-8")
+        text = rows.first()["text"]
+        found.append(bpe.bpe(rows, str(path)).first()["ids"])
+        assert found[-1] == Tokenizer.from_file(str(path)).encode(text, add_special_tokens=False).ids
+    assert found[0] != found[1]
 
 
 def test_a_table_of_odd_rows(spark, library):
