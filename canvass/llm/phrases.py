@@ -100,9 +100,15 @@ class Lot:
         at = np.flatnonzero(self.piece[:n] == self.piece[size - 1:])
         return at, mix(name[at] ^ (self.lang[at] * RIGHT + U(size)))
 
-    def phrase(self, at: int, size: int) -> str:
-        raw = self.joined[self.start[at]:self.end[at + size - 1]].tobytes().replace(b"\t", b" ")
-        return re.sub(b" +", b" ", raw).decode()
+    def phrases(self, at: np.ndarray, size: int) -> pa.Array:
+        """The texts of phrases, their words parted by one space."""
+        whole, low, high = self.joined.tobytes(), self.start[at], self.end[at + size - 1]
+        found = [whole[i:j] for i, j in zip(low.tolist(), high.tolist(), strict=True)]
+        # places where two words are parted by anything else
+        odd = np.append(0, np.cumsum((self.start[1:] - self.end[:-1] != 1) | (self.joined[self.end[:-1]] != 32)))
+        for k in np.flatnonzero(odd[at + size - 1] > odd[at]).tolist():
+            found[k] = re.sub(b"[ \t]+", b" ", found[k])
+        return pa.array(found, pa.binary()).cast(pa.string())
 
 
 def lots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list, list, list]]:
@@ -222,8 +228,8 @@ def frequent(docs: DataFrame, support: int = SUPPORT, shard: Column | None = Non
                 _, where, n = np.unique(name[keep], return_index=True, return_counts=True)
                 starts = at[keep][where]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([tags[i] for i in lot.text[starts]], pa.string()), pa.array(np.full(len(n), size, np.int8)),
-                    pa.array([lot.phrase(i, size) for i in starts], pa.string()), pa.array(n.astype(np.int64))], schema=PHRASES)
+                    pa.array(tags, pa.string()).take(pa.array(lot.text[starts])), pa.array(np.full(len(n), size, np.int8)),
+                    lot.phrases(starts, size), pa.array(n.astype(np.int64))], schema=PHRASES)
 
     found = rows.mapInArrow(exact, PHRASES_SQL).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("f"))
     return stored(found.filter(F.col("f") >= support), "phrases"), sums
