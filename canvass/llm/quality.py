@@ -146,7 +146,7 @@ def judged(docs: DataFrame, *keep: Column) -> DataFrame:
     counts = F.transform(F.sequence(F.lit(1), F.size("word_shares") - 1),
                          lambda k: (F.size("hits") - F.size(F.array_remove("hits", k))) / F.col("n_words"))
     rows = compute_once(rows, shares=F.when(guard, counts))
-    rows = compute_once(rows, word_distance=distance(with_rest(F.col("shares")), F.col("word_shares")),
+    rows = compute_once(rows, word_distance=F.when(guard, distance(with_rest(F.col("shares")), F.col("word_shares"))),
                         class_distance=F.when(guard, distance(class_shares(), F.col("class_shares"))))
     fits = F.coalesce((F.col("word_distance") <= WORD_BOUND) & (F.col("class_distance") <= CLASS_BOUND), F.lit(True))
     return rows.withColumn("kept", ~F.col("base_failed") & fits)

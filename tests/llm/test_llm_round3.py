@@ -184,7 +184,7 @@ def test_quality_of_odd_rows(spark):
     normal = lambda n: " ".join(pick.choice(["the", "of", "and", "Tree", "house", "élan", "stone,", "river", "went", "sky."]) for _ in range(n))
     texts = [None, "", " \n\v ", "one two", "a b c d e f " * 3, "l1 x\nl1 x\n \n \nl2\nl1 x", "é#$ 🙂 <b>|</b> " + normal(20), "w " * 20000]
     texts += [normal(n) for n in (5, 9, 10, 40, 300)] + [" ".join(f"{w}***###" for w in normal(200).split())] + [normal(120) for _ in range(40)]
-    rows = [(i, t, "en" if i % 9 else None, 1.0, True) for i, t in enumerate(texts)] + [(3, texts[3], "en", 1.0, True)] * 2
+    rows = [(i, t, "xx" if i == 7 else "en" if i % 9 else None, 1.0, True) for i, t in enumerate(texts)] + [(3, texts[3], "en", 1.0, True)] * 2
     frame = spark.createDataFrame(rows, "doc_id int, text string, lang string, kept double, base_failed boolean")
     got = quality.quality_rules(frame).collect()
     assert len(got) == len(rows)
