@@ -183,13 +183,16 @@ def batch_report_correlations(spark, sf_dir):
 def _in_two_runs(spark, sf_dir, exact):
     """Reports of the landed events, refreshed after each half of them arrived; the days they share are counted again."""
     out = work_dir(spark, "refreshed")
-    documents = documents_of(spark, sf_dir)
-    middle = documents.agg(F.median(F.unix_micros(F.col("submittedAt").cast("timestamp")))).scalar()
+    rows = fx.surveys(fx.spread_events(spark, sf_dir))
+    documents = fx.with_answer_map(rows)
+    # any time near the middle will do; the exact one would gather all times in one task, for each landing again
+    micros = F.unix_micros(F.col("submittedAt").cast("timestamp"))
+    middle = F.lit(fx.surveys(fx.table(spark, sf_dir, "events")).agg(F.percentile_approx(micros, 0.5)).first()[0])
     first = F.unix_micros(F.col("submittedAt").cast("timestamp")) < middle
     land_surveys(documents.filter(first), f"{out}/landed")
     refresh_reports(spark, f"{out}/landed", out, exact)
     # a landing replaces its days, so the day that was cut lands whole
-    cut = F.to_date(F.timestamp_micros(F.floor(middle)))
+    cut = F.to_date(F.timestamp_micros(middle))
     land_surveys(documents.filter(F.to_date("submittedAt") >= cut), f"{out}/landed")
     refresh_reports(spark, f"{out}/landed", out, exact)
     return read_reports(spark, out)

@@ -94,30 +94,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Micro-batches that a stream of events comes in, the files of each, and how late the late rows are.
+def spread_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events dealt over as many tasks as their rows ask for.
+
+    A file of few row groups, however many rows it has, would otherwise be decoded by few tasks.
+    """
+    events = table(spark, sf_dir, "events")
+    return events.repartition(max(1, -(-events.count() // FILE_ROWS)), "event_id")
+
+
+#: Micro-batches that a stream of events comes in, the least files of each, and how late the late rows are.
 FILES, PARTS, LATE = 4, 2, "5 minutes"
+#: Rows beyond which a micro-batch gets more files, and a table more tasks.
+FILE_ROWS = 50_000
 
 
 def event_table_stream(spark: SparkSession, sf_dir: str, again: int | None = None, closing: bool = False) -> DataFrame:
-    """The events as a stream of several files in the order of time, ``PARTS`` for each micro-batch.
+    """The events as a stream of several files in the order of time, ``PARTS`` or more for each micro-batch.
 
+    The files of a batch grow in number, not in size, so larger tables are spread over more tasks.
     Each seventh event of the last minutes of a batch comes late, in the next one.  With ``again``
     the events whose id it divides come a second time in the next batch.  With ``closing`` a last
     batch holds one event two days later, so that all windows close before the stream ends.
     """
     events = table(spark, sf_dir, "events")
     folder = work_dir(spark, "event_files")
-    low, high = events.agg(F.unix_micros(F.min(F.col("ts").cast("timestamp"))), F.unix_micros(F.max(F.col("ts").cast("timestamp")))).first()
+    low, high, rows = events.agg(F.unix_micros(F.min(F.col("ts").cast("timestamp"))), F.unix_micros(F.max(F.col("ts").cast("timestamp"))), F.count("*")).first()
+    parts = max(PARTS, -(-rows // (FILES * FILE_ROWS)))
     delay = F.when(F.col("event_id") % 7 == 0, F.expr(f"INTERVAL {LATE}")).otherwise(F.expr("INTERVAL 0 minutes"))
     arrival = F.unix_micros((F.col("ts") + delay).cast("timestamp")) - low
     number = F.least(F.floor(arrival * FILES / (high - low + 1)), F.lit(FILES - 1))
     twice = (F.col("event_id") % again == 0) if again else F.lit(False)
     for k in range(FILES):
-        events.filter((number == k) | (twice & (number == k - 1))).repartition(PARTS).write.mode("append").parquet(folder)
+        events.filter((number == k) | (twice & (number == k - 1))).repartition(parts).write.mode("append").parquet(folder)
     if closing:
         last = events.orderBy(F.desc("ts"), "event_id").limit(1).withColumns({"ts": F.col("ts") + F.expr("INTERVAL 2 days"), "event_type": F.lit("closing")})
         last.write.mode("append").parquet(folder)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", PARTS).parquet(folder)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", parts).parquet(folder)
 
 
 def project(df: DataFrame, columns: dict[str, str]) -> DataFrame:
