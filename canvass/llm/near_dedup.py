@@ -33,6 +33,8 @@ HUBS, CHUNK = 32, 1 << 12
 SLACK = 0.14
 #: Coordinates of the longer signature, its slack, and members of a block and of a tile of it.
 LONG, LONG_SLACK, BLOCK, TILE = 1 << 10, 0.0625, 1 << 11, 1 << 9
+#: Times as many pairs of a root tried in the next round, after one in which fewer than an eighth were links.
+HASTE = 64
 SIGNED = pa.schema([("doc_id", pa.int64()), ("c0", pa.int64()), ("c1", pa.int64()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
 SIGNED_SQL = "doc_id long, c0 long, c1 long, sig binary, bands array<long>"
 SAME = ["doc_id", "c0", "c1"]
@@ -332,12 +334,17 @@ def joined_up(pairs: DataFrame, texts: DataFrame, roots: DataFrame, size: int, l
         if not picks.limit(1).count():
             return roots
         sure = verified(picks, texts, size, least).select("a", "b")
+        links, tried = sure.count(), picks.count()
+        wanted *= 8 if 8 * links >= tried else HASTE
+        left = left.join(picks.select("a", "b"), ["a", "b"], "left_anti")
+        if not links:  # the roots are as before
+            left = stored(left, "left")
+            continue
         edges = picks.join(sure, ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
         tops = components(edges).select(F.col("node").alias("under"), F.col("root").alias("top"))
         roots = roots.join(tops, F.col("root") == F.col("under"), "left")
         roots = stored(roots.select("node", F.coalesce("top", "root").alias("root")), "roots")
-        left = stored(rooted(left.join(picks.select("a", "b"), ["a", "b"], "left_anti"), roots), "left")
-        wanted *= 8
+        left = stored(rooted(left, roots), "left")
 
 
 def ends(pairs: DataFrame) -> DataFrame:
