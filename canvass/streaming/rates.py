@@ -20,15 +20,16 @@ from canvass.streaming.intake import _keep, _start
 
 SAMPLE = "metric string, labels map<string,string>, ts timestamp, value double"
 KEYS = ["metric", "series", "ts", "value"]
+SERIES = ["metric", "labels", "series", "ts", "value"]
 
 
 def _by_series(rows: DataFrame, found: Column) -> DataFrame:
     """(m, s, found) for each series, to be joined by ``_same``."""
-    return rows.groupBy(F.col("metric").alias("m"), _series_key().alias("s")).agg(found.alias("found"))
+    return rows.groupBy(F.col("metric").alias("m"), F.col("series").alias("s")).agg(found.alias("found"))
 
 
 def _same() -> Column:
-    return F.col("metric").eqNullSafe(F.col("m")) & _series_key().eqNullSafe(F.col("s"))
+    return F.col("metric").eqNullSafe(F.col("m")) & F.col("series").eqNullSafe(F.col("s"))
 
 
 def _before(ts: str | Column, seconds: int) -> Column:
@@ -45,27 +46,29 @@ def start_rates(samples: DataFrame, out: str, checkpoints: str, range_seconds: i
     spark = samples.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = _keep(batch.select("metric", "labels", F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value")))
+        fresh = batch.select("metric", "labels", _series_key().alias("series"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value"))
         carried = read_snapshot_before(spark, f"{out}/carried", batch_id)
-        carried = spark.createDataFrame([], SAMPLE) if carried is None else carried
+        carried = (spark.createDataFrame([], SAMPLE) if carried is None else carried).withColumn("series", _series_key())
+        newest = _by_series(carried, F.max("ts"))
+        late = F.coalesce(F.unix_micros("ts") < _before("found", lateness_seconds), F.lit(False))
+        dated = _keep(fresh.join(newest, _same(), "left").select(*SERIES, late.alias("late")))
+        # the rows of a batch are grouped once; all that follows reads the different samples
+        new = dated.filter("NOT late").select(*SERIES, F.lit(True).alias("new"))
+        known = carried.select(*SERIES, F.lit(False).alias("new")).unionByName(new)
+        known = _keep(known.groupBy(*KEYS).agg(F.max("new").alias("new")).withColumn("labels", F.map_from_entries("series")))
         try:
-            newest = _by_series(carried, F.max("ts"))
-            dated = fresh.join(newest, _same(), "left").withColumn("late", F.coalesce(F.unix_micros("ts") < _before("found", lateness_seconds), F.lit(False)))
-            dated = _keep(dated.select("metric", "labels", "ts", "value", "late"))
-            new = dated.filter("NOT late").drop("late")
-            known = carried.unionByName(new).withColumn("series", _series_key()).dropDuplicates(KEYS).drop("series")
             # what a batch changes: the rates of each series from its oldest new sample on
-            oldest = _by_series(new, F.min("ts"))
-            rated = counter_rate(known, range_seconds).join(oldest, _same()).filter("ts >= found")
-            rated = rated.select("metric", "labels", _series_key().alias("series"), "ts", "value", "rate")
+            oldest = _by_series(known.filter("new"), F.min("ts"))
+            rated = counter_rate(known.select("metric", "labels", "ts", "value"), range_seconds).withColumn("series", _series_key())
+            rated = rated.join(oldest, _same()).filter("ts >= found").select("metric", "labels", "series", "ts", "value", "rate")
             write_batch(rated, f"{out}/rates", batch_id, fold=partial(latest_rows, keys=KEYS))
-            write_batch(dated.filter("late").drop("late"), f"{out}/late_samples", batch_id)
+            write_batch(dated.filter("late").drop("late", "series"), f"{out}/late_samples", batch_id)
             last = _by_series(known, F.max("ts"))
             kept = known.join(last, _same()).filter(F.unix_micros("ts") > _before("found", range_seconds + lateness_seconds))
             write_snapshot(kept.select("metric", "labels", "ts", "value"), f"{out}/carried", batch_id)
-            dated.unpersist()
         finally:
-            fresh.unpersist()
+            known.unpersist()
+            dated.unpersist()
 
     return _start(samples, "rates", write, checkpoints, interval)
 

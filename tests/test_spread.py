@@ -7,6 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from canvass.streaming import rates
 from workload import batch_queries, fixtures as fx
 
 
@@ -44,3 +45,17 @@ def test_refreshing_gathers_no_times(spark, monkeypatch):
     monkeypatch.setattr(batch_queries.F, "median", None)
     found = batch_queries._in_two_runs(spark, "/root/testdata/sf0.001", True)["daily_stats"]
     assert found.agg(F.sum("total_submissions")).first()[0] == fx.table(spark, "/root/testdata/sf0.001", "events").count()
+
+
+def test_a_batch_of_samples_is_grouped_once(spark, tmp_path, monkeypatch):
+    """Rates, newest times and the carried samples read the grouped rows of a batch, which are kept."""
+    leaves, plain = [], rates.counter_rate
+
+    def watched(samples, *args):
+        leaves.append(samples._jdf.queryExecution().withCachedData().collectLeaves().size())
+        return plain(samples, *args)
+
+    monkeypatch.setattr(rates, "counter_rate", watched)
+    samples = fx.samples(fx.event_table_stream(spark, "/root/testdata/sf0.001"))
+    rates.start_rates(samples, f"{tmp_path}/out", f"{tmp_path}/c").awaitTermination()
+    assert leaves == [1] * fx.FILES
