@@ -59,3 +59,13 @@ def test_a_batch_of_samples_is_grouped_once(spark, tmp_path, monkeypatch):
     samples = fx.samples(fx.event_table_stream(spark, "/root/testdata/sf0.001"))
     rates.start_rates(samples, f"{tmp_path}/out", f"{tmp_path}/c").awaitTermination()
     assert leaves == [1] * fx.FILES
+
+
+def test_messages_are_made_without_a_map_of_answers(spark):
+    events = fx.table(spark, "/root/testdata/sf0.001", "events")
+    messages = fx.event_messages(events)
+    assert "map_filter" not in messages._jdf.queryExecution().optimizedPlan().toString()
+    found = messages.select(F.from_json("value", "answers map<string,string>, data map<string,string>").alias("m"))
+    found = found.select(F.map_entries(F.coalesce("m.answers", "m.data")).alias("answers"))
+    wanted = fx.with_answer_map(fx.surveys(events)).select(F.map_entries("answers").alias("answers"))
+    assert found.exceptAll(wanted).isEmpty() and wanted.exceptAll(found).isEmpty()
