@@ -23,7 +23,7 @@ from canvass.llm.components import components
 from canvass.llm.darts import signatures
 from canvass.llm.ngrams import columns
 from canvass.llm.repeats import Rule, blocks, word_tokens
-from canvass.llm.shared import prepare, stored
+from canvass.llm.shared import fitted, prepare, stored
 from canvass.llm.windows import LEFT, U, mix, names, paired
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -33,6 +33,8 @@ HUBS, CHUNK = 32, 1 << 12
 SLACK = 0.14
 #: Coordinates of the longer signature, its slack, and members of a block and of a tile of it.
 LONG, LONG_SLACK, BLOCK, TILE = 1 << 10, 0.0625, 1 << 11, 1 << 9
+#: Texts of a file, and pairs that a task verifies.
+FILE_TEXTS, TRIED = 1 << 9, 1 << 7
 #: Times as many pairs of a root tried in the next round, after one in which fewer than an eighth were links.
 HASTE = 64
 SIGNED = pa.schema([("doc_id", pa.int64()), ("c0", pa.int64()), ("c1", pa.int64()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
@@ -153,7 +155,7 @@ def proposals(members: DataFrame, least: float) -> DataFrame:
         if not again:
             break
     pair = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return links.groupBy(*pair).agg(F.max("likeness").alias("likeness"))
+    return fitted(links.groupBy(*pair).agg(F.max("likeness").alias("likeness")), links.count())
 
 
 def longer_signed(size: int):
@@ -246,8 +248,9 @@ def crowded(classes: DataFrame, docs: DataFrame, roots: DataFrame, size: int, le
     placed = stored(placed.select("key", "node", "size", F.coalesce("root", "node").alias("root")), "crowds")
     groups = placed.groupBy("key", "root").agg(F.count("*").alias("many"), F.max("size").alias("size"))
     mixed = groups.groupBy("key").agg(F.max(F.struct("many", "root")).alias("core"), F.max("size").alias("all")).filter("all > core.many")
-    mixed = stored(mixed.select(F.col("key").alias("k"), F.col("core.root").alias("core"), F.ceil(F.col("core.many") / BLOCK).cast("long").alias("cores"),
-                                F.ceil((F.col("all") - F.col("core.many")) / BLOCK).cast("long").alias("others")), "mixed")
+    mixed = mixed.select(F.col("key").alias("k"), F.col("core.root").alias("core"), F.ceil(F.col("core.many") / BLOCK).cast("long").alias("cores"),
+                         F.ceil((F.col("all") - F.col("core.many")) / BLOCK).cast("long").alias("others"))
+    mixed = stored(fitted(mixed, placed.count()), "mixed")
     if not mixed.limit(1).count():
         return None
     dealt = placed.join(mixed, F.col("key") == F.col("k")).withColumn("is_core", F.expr("root = core"))
@@ -291,7 +294,8 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Dat
     """The pairs (a, b) of at least that similarity, from the texts (node, text) themselves."""
     first = texts.select(F.col("node").alias("a"), F.col("text").alias("one"))
     second = texts.select(F.col("node").alias("b"), F.col("text").alias("other"))
-    full = pairs.select("a", "b").join(second, "b").join(first, "a").select("a", "b", "one", "other").sortWithinPartitions("a")
+    full = pairs.select("a", "b").join(second, "b").join(first, "a").select("a", "b", "one", "other")
+    full = fitted(full, pairs.count(), TRIED).sortWithinPartitions("a")
     return stored(full.mapInArrow(jaccards(size), "a long, b long, similarity double").filter(F.col("similarity") >= least), "verified")
 
 
@@ -324,27 +328,26 @@ def joined_up(pairs: DataFrame, texts: DataFrame, roots: DataFrame, size: int, l
     has members, and only one edge for each verified pair of roots goes on.  Pairs that fail are gone; as many of them can
     stand between two roots, each round tries eight times as many pairs of a root as the one before.
     """
-    left, wanted = stored(rooted(pairs, roots), "left"), 1
-    while True:
+    left, wanted, nodes = stored(rooted(pairs, roots), "left"), 1, roots.count()
+    while (many := left.count()):
         slot = F.pmod(F.xxhash64("a", "b"), F.lit(wanted)).alias("slot")
-        best = F.max(F.struct("likeness", "a", "b", "root_a", "root_b")).alias("m")
-        one, other = (left.groupBy(F.col(root).alias("of"), slot).agg(best) for root in ("root_a", "root_b"))
+        pair = F.struct("likeness", "a", "b", "root_a", "root_b").alias("m")
+        one, other = (left.select(F.col(root).alias("of"), slot, pair) for root in ("root_a", "root_b"))
         picks = one.unionByName(other).groupBy("of", "slot").agg(F.max("m").alias("m"))
-        picks = stored(picks.select("m.*").distinct(), "picks")
-        if not picks.limit(1).count():
-            return roots
+        picks = stored(fitted(picks.select("m.*").distinct(), many), "picks")
         sure = verified(picks, texts, size, least).select("a", "b")
         links, tried = sure.count(), picks.count()
         wanted *= 8 if 8 * links >= tried else HASTE
         left = left.join(picks.select("a", "b"), ["a", "b"], "left_anti")
         if not links:  # the roots are as before
-            left = stored(left, "left")
+            left = stored(fitted(left, many), "left")
             continue
         edges = picks.join(sure, ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
         tops = components(edges).select(F.col("node").alias("under"), F.col("root").alias("top"))
         roots = roots.join(tops, F.col("root") == F.col("under"), "left")
-        roots = stored(roots.select("node", F.coalesce("top", "root").alias("root")), "roots")
-        left = stored(rooted(left, roots), "left")
+        roots = stored(fitted(roots.select("node", F.coalesce("top", "root").alias("root")), nodes), "roots")
+        left = stored(fitted(rooted(left, roots), many), "left")
+    return roots
 
 
 def ends(pairs: DataFrame) -> DataFrame:
@@ -354,15 +357,15 @@ def ends(pairs: DataFrame) -> DataFrame:
 def connected(classes: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
     """(node, root) of the classes that have a likely link."""
     links = stored(proposals(classes.select("node", "sig", "bands"), least - SLACK), "links")
-    linked = stored(ends(links).withColumn("root", F.col("node")), "linked")
-    texts = stored(texts_of(classes, docs, linked.select("node")), "texts")
+    linked = stored(fitted(ends(links).withColumn("root", F.col("node")), 2 * links.count()), "linked")
+    texts = stored(fitted(texts_of(classes, docs, linked.select("node")), linked.count(), FILE_TEXTS), "texts")
     roots = joined_up(links, texts, linked, size, least)
     more = crowded(classes, docs, roots, size, least)
     if more is None:
         return roots
     more = stored(more.join(links, ["a", "b"], "left_anti").withColumn("likeness", F.lit(0.0)), "more")
-    others = ends(more)
-    texts = stored(texts_of(classes, docs, others), "texts")
+    others = stored(fitted(ends(more), 2 * more.count()), "others")
+    texts = stored(fitted(texts_of(classes, docs, others), others.count(), FILE_TEXTS), "texts")
     alone = others.join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))
     return joined_up(more, texts, stored(roots.unionByName(alone), "roots"), size, least)
 

@@ -19,6 +19,8 @@ ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Rows and bytes handed to Python at once; documents may be long, so both are bounded.
 BATCH_ROWS, BATCH_BYTES = 4000, 16 << 20
+#: Rows of a file of a table of few columns whose size is known.
+FILE_ROWS = 1 << 16
 
 
 @contextmanager
@@ -49,6 +51,11 @@ def prepare(spark: SparkSession) -> None:
         context.addPyFile(shutil.make_archive(name, "zip", os.path.dirname(package), os.path.basename(package)))
 
 
+def fitted(df: DataFrame, rows: int, each: int = FILE_ROWS) -> DataFrame:
+    """A frame of at most ``rows`` rows in tasks of about ``each``, where the shuffle before it has more."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
