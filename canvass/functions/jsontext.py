@@ -21,10 +21,12 @@ def with_json_object(df: DataFrame, name: str, value: Column, fields: str) -> Da
     Fields of type variant keep their JSON type: a missing key is NULL, an explicit null
     is a variant.  Of a repeated key the last value counts.
     """
-    listed = compute_once(df, **{name: F.from_json(_listed(value), f"array<struct<{fields}>>", _STRICT)})
+    # a text that opens no object is not parsed: the parser would tell by an exception
+    opens = F.ltrim(value, F.lit(" \t\r\n")).startswith("{")
+    listed = F.when(opens, F.from_json(_listed(value), f"array<struct<{fields}>>", _STRICT))
     # a list of more than one element was several values
-    only = F.when(F.size(name) == 1, F.get(name, F.lit(0)))
-    return compute_once(listed, *df.columns, **{name: only})
+    only = F.transform(F.array(listed), lambda found: F.when(F.size(found) == 1, F.get(found, F.lit(0))))
+    return compute_once(df, **{name: F.get(only, F.lit(0))})
 
 
 def is_json(value: Column) -> Column:

@@ -22,39 +22,47 @@ BODY = "userId: variant, responses: array<struct<questionId: string, answer: var
 def answers_from_responses(responses: Column) -> Column:
     """List of (questionId, answer) as a map; of a repeated question the last answer counts.
 
-    Each id takes the answer at its first position from the end, so the map is made of
-    distinct keys and does not depend on the session's policy for duplicates.  Responses
-    without an id are left out.
+    A response counts if no later one has its id, so the map is made of distinct keys, the last
+    response first, and does not depend on the session's policy for duplicates.  Responses
+    without an id are left out.  Ids are compared by a lambda: inside one, ``array_position`` is
+    interpreted and ends each search that finds something by an exception.
     """
-    ids = F.reverse(responses["questionId"])
-    values = F.reverse(responses["answer"])
-    keys = F.array_compact(F.array_distinct(ids))
-    return F.map_from_arrays(
-        keys, F.transform(keys, lambda key: F.element_at(values, F.array_position(ids, key).cast("int")))
-    )
 
+    def counts(response: Column, position: Column) -> Column:
+        later = F.slice(responses, position + 2, F.size(responses))
+        return response["questionId"].isNotNull() & ~F.exists(
+            later, lambda other: other["questionId"].eqNullSafe(response["questionId"]))
 
-def decode_submissions(raw: DataFrame, runtime_version: str = "17",
-                       survey_id: Column | None = None) -> DataFrame:
-    """Survey columns out of request bodies, with ``valid``.
+    return F.map_from_entries(F.reverse(F.filter(responses, counts)))
 
-    ``raw`` has ``body`` (JSON), ``sessionId``, ``userAgent``, ``referer``, ``ipAddress``
-    and ``receivedAt``.  A body without a user is anonymous, while an explicit null stays
-    null.  A body that is no object or has no responses is not valid, and only then is its
-    text kept.  ``typed_answers`` holds the JSON type of each answer.
+
+def parse_submissions(raw: DataFrame) -> DataFrame:
+    """What request bodies hold, with ``valid``: all that takes time, and nothing that is the same in every row.
+
+    A table to keep where the columns of ``survey_columns`` are wanted several times.
     """
     parsed = with_json_object(raw, "fields", F.col("body"), BODY)
     typed = compute_once(parsed, typed_answers=answers_from_responses(F.col("fields.responses")))
     user = F.when(F.col("fields.userId").isNull(), F.lit(ANONYMOUS)).otherwise(
         string_only(F.col("fields.userId"))
     )
-    received = F.col("receivedAt").cast("timestamp")
     valid = F.col("fields.responses").isNotNull()
-    return typed.select(
+    return typed.withColumns({
+        "userId": user,
+        "answers": F.transform_values("typed_answers", lambda _, v: any_text(v)),
+        "body": F.when(~valid, F.col("body")),
+        "valid": valid,
+    }).drop("fields")
+
+
+def survey_columns(parsed: DataFrame, runtime_version: str = "17", survey_id: Column | None = None) -> DataFrame:
+    """Survey columns of parsed bodies, the fixed ones included."""
+    received = F.col("receivedAt").cast("timestamp")
+    return parsed.select(
         (survey_id if survey_id is not None else F.lit(SURVEY_ID)).alias("surveyId"),
-        user.alias("userId"),
+        "userId",
         "sessionId",
-        F.transform_values("typed_answers", lambda _, v: any_text(v)).alias("answers"),
+        "answers",
         received.alias("submittedAt"),
         F.struct(
             F.lit(SURVEY_TYPE).alias("surveyType"),
@@ -69,11 +77,23 @@ def decode_submissions(raw: DataFrame, runtime_version: str = "17",
             ).alias("technicalData"),
         ).alias("metadata"),
         "typed_answers",
-        F.when(~valid, F.col("body")).alias("body"),
-        valid.alias("valid"),
+        "body",
+        "valid",
     )
 
 
+def decode_submissions(raw: DataFrame, runtime_version: str = "17",
+                       survey_id: Column | None = None) -> DataFrame:
+    """Survey columns out of request bodies, with ``valid``.
+
+    ``raw`` has ``body`` (JSON), ``sessionId``, ``userAgent``, ``referer``, ``ipAddress``
+    and ``receivedAt``.  A body without a user is anonymous, while an explicit null stays
+    null.  A body that is no object or has no responses is not valid, and only then is its
+    text kept.  ``typed_answers`` holds the JSON type of each answer.
+    """
+    return survey_columns(parse_submissions(raw), runtime_version, survey_id)
+
+
 def accepted_submissions(decoded: DataFrame) -> DataFrame:
     return decoded.filter("valid").drop("body", "valid")
 

@@ -79,8 +79,9 @@ def start_submissions(bodies: DataFrame, out: str, checkpoints: str, interval: s
     """
 
     def write_all(batch: DataFrame, batch_id: int) -> None:
-        decoded = _keep(submissions.decode_submissions(batch))
+        parsed = _keep(submissions.parse_submissions(batch))
         try:
+            decoded = submissions.survey_columns(parsed)
             surveys = submissions.accepted_submissions(decoded)
             write(surveys, f"{out}/survey_responses", batch_id)
             messages = submission_messages(surveys)
@@ -91,7 +92,7 @@ def start_submissions(bodies: DataFrame, out: str, checkpoints: str, interval: s
             write(logs.submission_log(surveys), f"{out}/logs", batch_id)
             write(submissions.refused_submissions(decoded), f"{out}/refused", batch_id)
         finally:
-            decoded.unpersist()
+            parsed.unpersist()
 
     return _start(bodies, "submissions", write_all, checkpoints, interval)
 
